@@ -46,6 +46,7 @@ class Model:
         self.fallback = library.is_byte(self.bytes[0])
         self.longest = max(map(len, self.ids))
         self.worst = min((self.score[i] for i in self.ids.values()), default=0.0)
+        self.tails = {p[k:] for p in self.ids for k in range(len(p))}
         self.memo: dict[int, bool] = {}
         self.raw = [b"" if library.is_control(i) else bytes([int(p[3:5], 16)]) if library.is_byte(i) else p.replace(SPACE, " ").encode() for i, p in enumerate(self.pieces)]
 
@@ -76,7 +77,7 @@ class Model:
 
     def encode(self, chars: Iterable[str]) -> Iterator[int]:
         """Ids of a stream of characters (blanks already replaced by SPACE), handed out as soon as they are final."""
-        bpe, ids, score, longest = self.kind == "bpe", self.ids, self.score, self.longest
+        bpe, ids, score, longest, tails, memo = self.kind == "bpe", self.ids, self.score, self.longest, self.tails, self.memo
         # boundary -> (path score, boundary before, piece id or -1, unknown character)
         back: dict[int, tuple[float, int, int, str]] = {0: (0.0, -1, -1, "")}
         window, j, final = "", 0, 0
@@ -84,12 +85,16 @@ class Model:
             window, j = (window + c)[-longest:], j + 1
             best = None
             for n in range(1, len(window) + 1):
-                piece = ids.get(window[-n:])
+                tail = window[-n:]
+                if tail not in tails:  # no longer piece ends here either
+                    break
+                piece = ids.get(tail)
                 if piece is None or j - n not in back:
                     continue
                 before = back[j - n]
                 if bpe:
-                    if self.admissible(before[2], piece):
+                    keeps = memo.get((before[2] + 1) << 24 | piece)
+                    if self.admissible(before[2], piece) if keeps is None else keeps:
                         best = (0.0, j - n, piece, "")
                         break
                 elif best is None or before[0] + score[piece] > best[0]:

@@ -18,6 +18,8 @@ END_ID = 2
 #: Bytes of a row group and of a page; the page is what a reader of a few documents has to decode.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
+#: New units that go to the library in one text.
+JOINED_UNITS = 128
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -37,11 +39,25 @@ class ByteBpe:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.cache = UnitCache(lambda found: self.by_library([u if u[0] == "\n" else u[1:] if u[0] == "\r" else " " + u for u in found]))
+        self.feed = self.by_library(["\n"])[0]
+        self.cache = UnitCache(self.units_by_library)
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def units_by_library(self, found: list[str]) -> list[bytes]:
+        """New units, many in one text: a line feed between them keeps them apart and marks where each ends."""
+        bare = [u[1:] if u[0] in "\r\n" else " " + u for u in found]
+        if len(self.feed) != 4:
+            bare_ids = self.by_library(bare)
+        else:
+            texts = ["\n".join(bare[i : i + JOINED_UNITS]) for i in range(0, len(bare), JOINED_UNITS)]
+            feed, bare_ids = int.from_bytes(self.feed, "little"), []
+            for raw in self.by_library(texts):
+                ends = (np.flatnonzero(np.frombuffer(raw, dtype="<u4") == feed) * 4).tolist()
+                bare_ids += [raw[a:z] for a, z in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
+        return [self.feed + x if u[0] == "\n" else x for u, x in zip(found, bare_ids, strict=True)]
+
     def __call__(self, text: str) -> bytes:
         if not text:
             return b""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterable
 
-#: Units kept by each Python worker; the cache is emptied when it is full.
+#: Units in each of the cache's two generations, for each Python worker.
 CACHE_UNITS = 400_000
 #: A longer unit is encoded but not kept.
 CACHE_CHARS = 64
@@ -18,21 +18,27 @@ def units(text: str) -> list[str]:
 
 
 class UnitCache:
-    """Joins the ids of units, as little-endian 32-bit bytes. encode(list of distinct units) gives those of new ones."""
+    """Joins the ids of units, as little-endian 32-bit bytes. encode(list of distinct units) gives those of new ones.
+
+    When the young generation is full it becomes the old one; units still in use move back into the young one, so that
+    frequent units stay and rare ones go.
+    """
 
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], size: int = CACHE_UNITS) -> None:
-        self.encode, self.size, self.known = encode, size, {}
+        self.encode, self.size, self.young, self.old = encode, size, {}, {}
 
     def join(self, found: list[str]) -> bytes:
-        known = self.known
+        young = self.young
         try:
-            return b"".join([known[u] for u in found])
+            return b"".join([young[u] for u in found])
         except KeyError:
             pass
-        new = list({u for u in found if u not in known})
-        ids = dict(zip(new, self.encode(new), strict=True))
-        out = b"".join([known[u] if u in known else ids[u] for u in found])
-        if len(known) + len(new) > self.size:
-            known.clear()
-        known.update((u, x) for u, x in ids.items() if len(u) <= CACHE_CHARS)
+        missing = {u for u in found if u not in young}
+        ids = {u: self.old[u] for u in missing if u in self.old}
+        new = list(missing - ids.keys())
+        ids.update(zip(new, self.encode(new), strict=True))
+        out = b"".join([young[u] if u in young else ids[u] for u in found])
+        if len(young) + len(ids) > self.size:
+            self.old, self.young = young, {}
+        self.young.update((u, x) for u, x in ids.items() if len(u) <= CACHE_CHARS)
         return out
