@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small, written
+from .common import map_batches
 
 SYMBOLS = b"#*$%&|<>"
 WHITE = b" \t\n\r\x0b\x0c"
@@ -63,16 +63,18 @@ def text_stats(text: str | None) -> tuple[int, int, int, int, int, int]:
     return len(words), len(text) - white, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats, len(lines)
 
 
-def document_stats(documents: DataFrame) -> DataFrame:
-    """(doc_id, the counts of text_stats) of each row; a null text has no words."""
+def document_stats(documents: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, the counts of text_stats) of each row; a null text has no words. whole: with the row itself as struct `row`."""
+    names = [f.split()[0] for f in STATS.split(", ")][1:]
+    kept = "row" if whole else "doc_id"
+    rows = documents.select(F.struct(*documents.columns).alias("row") if whole else "doc_id", F.col("text").alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [f.split()[0] for f in STATS.split(", ")]
         for b in batches:
-            stats = np.array([text_stats(t) for t in b.column("text").to_pylist()], np.int64).reshape(-1, 6)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(stats[:, k]) for k in range(6)]], names=names)
+            stats = np.array([text_stats(t) for t in b.column("__text").to_pylist()], np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(kept), *[pa.array(stats[:, k]) for k in range(len(names))]], names=[kept, *names])
 
-    return map_batches(documents.select("doc_id", "text"), each, STATS)
+    return map_batches(rows, each, f"{kept} {rows.schema[kept].dataType.simpleString()}, " + STATS.partition(", ")[2])
 
 
 @dataclass(frozen=True)
@@ -159,22 +161,28 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def labelled_sample(stats: DataFrame, labels: DataFrame, rows: int, seed: int) -> DataFrame:
-    """A row for each labelled id among the `rows` with the least hash; the bound is on rows that the learner sees."""
+def learned(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, seed: int = SEED) -> str:
+    """The decision list as SQL, from the labelled documents among the `rows` ids with the least hash that pass the base rule; quality 0 is what it rejects."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "doc_id").limit(rows)
-    return stats.join(small(picked, rows), "doc_id")
+    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of `rows` rows at most
+    sample = document_stats(texts, whole=True).where(~base_failed()).select("row.doc_id", "row.quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).orderBy("doc_id", *FEATURES).toPandas()
+    bad = (sample["quality"] == 0).to_numpy()
+    return kept_sql(learn({k: sample[k].to_numpy(float) for k in FEATURES}, bad, seed) if len(bad) else [])
 
 
 def judge(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
     """documents(doc_id, text, ...), labels(doc_id, quality) -> (doc_id, the counts, base_failed, kept), a row for each row.
 
-    The list is learned from labelled rows that pass the base rule; quality 0 is what it rejects. Nulls: a null text has
-    no words and fails the base rule; labels with a null are not used; without labels of both kinds only the base rule
-    decides. Equal rows and ids are judged alike; an empty table gives no rows. Further columns are ignored.
+    Nulls: a null text has no words and fails the base rule; labels with a null are not used; without labels of both
+    kinds only the base rule decides. Equal rows and ids are judged alike; an empty table gives no rows. Further columns
+    are ignored.
     """
-    stats = written(document_stats(documents).withColumn("base_failed", base_failed()), "stats")
-    sample = labelled_sample(stats.where("not base_failed"), labels, rows, seed).select("doc_id", "quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).orderBy("doc_id", *FEATURES).toPandas()
-    bad = (sample["quality"] == 0).to_numpy()
-    rules = learn({k: sample[k].to_numpy(float) for k in FEATURES}, bad, seed) if len(bad) else []
-    return stats.withColumn("kept", ~F.col("base_failed") & F.expr(kept_sql(rules)))
+    rule = learned(documents, labels, rows, seed)
+    return document_stats(documents).withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & F.expr(rule))
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
+    """The rows that judge() keeps, with all their columns, in one pass."""
+    rule = learned(documents, labels, rows, seed)
+    return document_stats(documents, whole=True).where(~base_failed() & F.expr(rule)).select("row.*")

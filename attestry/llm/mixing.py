@@ -74,7 +74,8 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     joined = documents.withColumn("__words", words(F.col("text"))).join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
     copies = joined.withColumn("__copy", F.explode(F.expr("sequence(0L, (__taken - 1) div __size)")))
     fits = F.expr("least(__size, __taken - __copy * __size)")
-    cut = F.when(fits < F.col("__size"), F.regexp_substr(F.col("text"), F.concat(F.lit(r"^[\x20\x09-\x0D]*(?:"), F.lit(WORD), F.lit(r"[\x20\x09-\x0D]+){"), (fits - 1).cast("string"), F.lit("}"), F.lit(WORD)))).otherwise(F.col("text"))
+    begun = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), fits.cast("int")), "")
+    cut = F.when(fits < F.col("__size"), begun).otherwise(F.col("text"))
     out = copies.withColumn("text", cut)
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(fits < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))

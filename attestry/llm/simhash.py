@@ -231,7 +231,15 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle_words: i
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id. Of rows that share this id, the one with the least text stays."""
-    keep = near_duplicates(documents, **options).where("doc_id <=> component_id").select("doc_id").distinct()
-    least = documents.groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("r")) if documents.groupBy("doc_id").count().where("count > 1").take(1) else documents.select("doc_id", F.struct(*documents.columns).alias("r"))
-    return least.join(keep, least["doc_id"].eqNullSafe(keep["doc_id"]), "left_semi").select("r.*")
+    """The documents without near copies: of each component the row with the smallest doc_id.
+
+    Of rows that share this id the one with the least text stays. A row without an id can't be named by the decision,
+    and stays.
+    """
+    gone = near_duplicates(documents, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    kept = documents.join(gone, "doc_id", "left_anti")
+    shared = documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if shared.take(1):
+        first = kept.join(shared, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct(*documents.columns), F.coalesce("text", F.lit(""))).alias("row")).select("row.*")
+        kept = kept.join(shared, "doc_id", "left_anti").unionByName(first)
+    return kept.select(*documents.columns)

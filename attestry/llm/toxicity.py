@@ -17,10 +17,12 @@ from .common import map_batches, written
 LABELLED_ROWS = 20_000
 #: Words that each category puts into the vocabulary: those with the largest likelihood ratio.
 WORDS = 400
-LEAST_DOCUMENTS = 4
+LEAST_DOCUMENTS = 3
+#: No cut is set lower than this, however few rows were labelled.
+LEAST_CUT = 0.3
 FOLDS = 5
 #: On the absolute weights, in log-likelihood.
-PENALTY = 1.0
+PENALTY = 0.7
 SWEEPS = 60
 SEED = 5
 #: Everything but ASCII letters and bytes of other scripts separates words; case goes.
@@ -137,7 +139,7 @@ def cut_of(p: np.ndarray, y: np.ndarray) -> float:
     at = ends[int(np.argmax(f1))]
     here = logit(p[order][at])
     below = logit(p[order][at + 1]) if at + 1 < len(p) else here - 2
-    return float(1 / (1 + np.exp(-(here + below) / 2)))
+    return max(LEAST_CUT, float(1 / (1 + np.exp(-(here + below) / 2))))
 
 
 def fit_chain(categories: list[str], words: dict[bytes, int], x: Sparse, y: np.ndarray, fold: np.ndarray) -> Chain:
@@ -216,17 +218,18 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
     return fit_chain(names, chosen, x, rows_of[names].to_numpy(), rows_of["fold"].to_numpy())
 
 
-def score(documents: DataFrame, chain: Chain, decisive: str) -> DataFrame:
-    """(doc_id, p_<category>..., toxic, kept): each whole text in one pass; toxic by the decisive category's cut."""
-    at = chain.categories.index(decisive)
+def score(documents: DataFrame, chain: Chain, decisive: str, whole: bool = False) -> DataFrame:
+    """(doc_id, p_<category>..., toxic, kept): each whole text in one pass; toxic by the decisive category's cut. whole: with the row itself as struct `row` in place of doc_id."""
+    at, key = chain.categories.index(decisive), "row" if whole else "doc_id"
+    rows = documents.select(F.struct(*documents.columns).alias("row") if whole else "doc_id", F.col("text").alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            p = chain.predict(chain.rows(b.column("text").to_pylist())) if chain.weights else np.zeros((b.num_rows, len(chain.categories)))
+            p = chain.predict(chain.rows(b.column("__text").to_pylist())) if chain.weights else np.zeros((b.num_rows, len(chain.categories)))
             toxic = p[:, at] >= chain.cuts[at] if chain.weights else np.zeros(b.num_rows, bool)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *[pa.array(np.round(p[:, k], 9)) for k in range(p.shape[1])], pa.array(toxic), pa.array(~toxic)], names=["doc_id", *[f"p_{c}" for c in chain.categories], "toxic", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(key), *[pa.array(np.round(p[:, k], 9)) for k in range(p.shape[1])], pa.array(toxic), pa.array(~toxic)], names=[key, *[f"p_{c}" for c in chain.categories], "toxic", "kept"])
 
-    return map_batches(documents.select("doc_id", "text"), each, "doc_id long, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", toxic boolean, kept boolean")
+    return map_batches(rows, each, f"{key} {rows.schema[key].dataType.simpleString()}, " + ", ".join(f"p_{c} double" for c in chain.categories) + ", toxic boolean, kept boolean")
 
 
 #: The categories of the labels table, in the order of the chain.
@@ -242,3 +245,9 @@ def judge(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """
     chain = train(documents, labels, {k: F.expr(v) for k, v in CATEGORIES.items()}, "toxic", **options)
     return score(documents, chain, "toxic")
+
+
+def kept_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
+    """The rows that judge() does not call toxic, with all their columns."""
+    chain = train(documents, labels, {k: F.expr(v) for k, v in CATEGORIES.items()}, "toxic", **options)
+    return score(documents, chain, "toxic", whole=True).where("kept").select("row.*")
