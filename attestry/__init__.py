@@ -1,0 +1 @@
+"""Evidence analytics on PySpark: DataFrame-in, DataFrame-out operators for annotated document corpora."""
