@@ -6,6 +6,7 @@ from difflib import SequenceMatcher
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 ANCHOR = 4
 HITS = 50
@@ -35,6 +36,6 @@ def best_ratio(quote: str | None, text: str | None) -> float:
     return best
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def fuzzy_ratio(quotes: pd.Series, texts: pd.Series) -> pd.Series:
     return pd.Series([best_ratio(q, t) for q, t in zip(quotes, texts, strict=True)], dtype="float64")

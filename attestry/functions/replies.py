@@ -7,6 +7,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 REASONING = re.compile(r"<think>.*?</think>", re.S | re.I)
 FENCED = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.S)
@@ -35,6 +36,6 @@ def first_object(reply: str | None) -> str | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def reply_json(replies: pd.Series) -> pd.Series:
     return replies.map(first_object)

@@ -7,6 +7,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Fixed values of the normal form: marks that are dropped, bracketed references, punctuation of equal meaning, dashes.
 DROPPED = "[\u2460-\u24FF\u2776-\u2793\u00B9\u00B2\u00B3\u2070-\u2079\u200B-\u200D\uFEFF]"
@@ -22,7 +23,7 @@ LOCATOR_SPAN = 20
 QUOTE_MARKS = "['\"]"
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

@@ -94,7 +94,7 @@ def rule_registry(spark: SparkSession, data: dict) -> tuple[DataFrame, DataFrame
     return lenses, rules, data["admission"]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decoded(contents):  # noqa: ANN001, ANN201  a series of bytes
     """UTF-8 with or without a byte-order mark; what can't be decoded is replaced."""
     return contents.map(lambda b: None if b is None else bytes(b).decode("utf-8-sig", "replace"))
