@@ -32,6 +32,10 @@ class Rule:
     candidate_sources: tuple[str, ...] = field(default=())
 
 
+def any_starts(codes: Column, start: str) -> Column:
+    return F.exists(codes, lambda c: c.startswith(start))
+
+
 def clause(text: str, codes: Column, fields: Column) -> Column:
     """`field:NAME`, taken literally, or alternatives `CODE|FAMILY-*`."""
     if text.startswith(FIELD_PREFIX):
@@ -40,8 +44,7 @@ def clause(text: str, codes: Column, fields: Column) -> Column:
     out = F.lit(False)
     for alternative in (a.strip() for a in text.split("|")):
         if alternative.endswith("-*"):
-            start = alternative[:-1]
-            out = out | F.exists(codes, lambda c, s=start: c.startswith(s))
+            out = out | any_starts(codes, alternative[:-1])
         else:
             exact.append(alternative)
     return out | F.arrays_overlap(codes, F.array(*[F.lit(x) for x in exact])) if exact else out
