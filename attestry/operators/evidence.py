@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from attestry.functions import text as tx
 from attestry.functions.fuzzy import fuzzy_ratio
+from attestry.operators.stages import settled
 from attestry.schemas import FIELDS
 
 MIN_CHARS = 6
 MAX_CHARS = 150
 MIN_HIT_RATE = 0.9
+#: Grams of quotes are broadcast if a count proves them no more than this (12 characters each).
+BROADCAST_GRAMS = 500_000
 
 
 def prepared_texts(texts: DataFrame, pars: Column | None = None, form=tx.normalize) -> DataFrame:  # noqa: ANN001
@@ -59,15 +62,16 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, gram: int = 12, form=tx.nor
     """
     q = quotes.select("quote_id", form(F.col("quote")).alias("q")).where("q <> ''")
     t = texts.select("paper_id", form(F.col("text")).alias("t"))
-    n = F.length("q") - gram + 1
-    grams = q.where(n > 0).select("quote_id", "q", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), n), lambda i: F.substring(F.col("q"), i, F.lit(gram))))).alias("g"))
+    every = F.lit(f"(?s)(?=(.{{{gram}}}))")  # each place is read once, whatever the length
+    grams = q.select("quote_id", F.explode(F.regexp_extract_all("q", every, F.lit(1))).alias("g")).distinct()
     known = grams.select("g").distinct()
-    m = F.length("t") - gram + 1
-    held = t.where(m > 0).select("paper_id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), m), lambda i: F.substring(F.col("t"), i, F.lit(gram))))).alias("g")).join(known, "g", "left_semi")
+    known = F.broadcast(known) if known.limit(BROADCAST_GRAMS + 1).count() <= BROADCAST_GRAMS else known
+    held = settled(t.select("paper_id", F.explode(F.regexp_extract_all("t", every, F.lit(1))).alias("g")).join(known, "g", "left_semi").distinct())
     counts = held.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
-    rare = grams.join(counts, "g").groupBy("quote_id").agg(F.min_by("g", F.struct("n", "g")).alias("g"), F.count(F.lit(1)).alias("held"))
-    met = held.join(rare.select("quote_id", "g"), "g").select("quote_id", "paper_id").distinct()
+    rare = grams.join(counts, "g").groupBy("quote_id").agg(F.min_by("g", F.struct("n", "g")).alias("g"))
+    met = held.join(rare, "g").select("quote_id", "paper_id").distinct()
     found = met.join(q, "quote_id").join(t, "paper_id").where(F.col("t").contains(F.col("q"))).select("quote_id", "paper_id")
+    n = F.length("q") - gram + 1
     brief = q.where(n <= 0)
     return found.unionByName(t.join(brief, F.col("t").contains(F.col("q"))).select("quote_id", "paper_id"))
 
