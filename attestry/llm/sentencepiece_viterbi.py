@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -156,12 +157,26 @@ class Encoder:
     def stream(self, text: str) -> bytes:
         return np.fromiter(self.model.encode(text), dtype="<u4").tobytes()
 
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        streamed, found = {}, []
+        for i, text in enumerate(texts):
+            if text and (not self.by_unit or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or SPACE in text):
+                streamed[i] = self.stream(SPACE + text.replace(" ", SPACE))
+            found.append([] if not text or i in streamed else units(text))
+        out = self.cache.join(found)
+        for i, x in streamed.items():
+            out[i] = x
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if not self.by_unit or text[0] in " \n" or text[-1] == " " or "  " in text or " \n" in text or "\n " in text or SPACE in text:
-            return self.stream(SPACE + text.replace(" ", SPACE))
-        return self.cache.join(units(text))
+        return self.all([text])[0]
+
+
+@lru_cache(1)
+def encoder_of(path: str, kind: str) -> Encoder:
+    """One for each Python worker: its cache serves all tasks that the worker runs."""
+    return Encoder(path, kind)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -182,10 +197,10 @@ def encode(documents: DataFrame, model: str | None = None, kind: str = "bpe", ke
     rows = documents.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path, kind)
+        encoder = encoder_of(path, kind)
         for b in batches:
             texts = b.column("__text").to_pylist()
-            raw = [encoder(t) for t in texts]
+            raw = encoder.all(texts)
             n = np.array([len(x) // 4 for x in raw], dtype=np.int64)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(n)].astype(np.int32)), pa.array(np.frombuffer(b"".join(raw), dtype="<i4")))
             back = [encoder.model.decode(np.frombuffer(x, dtype="<u4").tolist()) for x in raw]

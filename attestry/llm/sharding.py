@@ -79,10 +79,10 @@ def hilbert_order(df: DataFrame, numbers: list[str], categories: list[str], bits
 
 
 def placed_rows(documents: DataFrame, shards: int, bits: int, whole: bool) -> DataFrame:
-    """Each row with its curve, shard and slot; whole: with all columns of documents."""
+    """Each row with its curve, shard and slot; whole: with the row itself as struct `row`."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = documents.withColumns({"__size": (F.octet_length(text) + 1).cast("long"), "__crc": F.crc32(text), "__one": F.lit(1)})
-    rows = rows if whole else rows.select("doc_id", "source", "lang", "__size", "__crc", "__one")
+    row = [F.struct(*documents.columns).alias("row")] if whole else []
+    rows = documents.select("doc_id", "source", "lang", (F.octet_length(text) + 1).cast("long").alias("__size"), F.crc32(text).alias("__crc"), F.lit(1).alias("__one"), *row)
     curved = hilbert_order(rows, ["__size"], ["source", "lang"], bits)
     placed = running_totals(curved, ["curve", "__crc", "doc_id", "__size"], "__one", name="shards")
     placed = placed.withColumn("__n", F.lit(documents.count()).cast("long")).withColumn("shard", F.expr(f"before * {shards} div __n"))
@@ -101,8 +101,11 @@ def shard_plan(documents: DataFrame, shards: int = SHARDS, bits: int = BITS) ->
 
 
 def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, bits: int = BITS) -> DataFrame:
-    """Writes documents as path/shard=N/, sorted along the curve, and returns the manifest: for each shard its rows, bytes and the range of each dimension, by which a reader skips whole shards."""
+    """Writes documents as path/shard=N/, sorted along the curve, and returns the manifest: for each shard its rows, bytes and the range of each dimension, by which a reader skips whole shards.
+
+    Columns of documents named shard or n_bytes are replaced. As shard_plan() otherwise.
+    """
     placed = placed_rows(documents, shards, bits, True)
-    placed.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").select(*documents.columns, F.col("__size").alias("n_bytes"), "shard").write.partitionBy("shard").parquet(path)
+    placed.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").select(*[f"row.`{c}`" for c in documents.columns if c not in ("shard", "n_bytes")], F.col("__size").alias("n_bytes"), "shard").write.partitionBy("shard").parquet(path)
     back = documents.sparkSession.read.parquet(path)
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("bytes"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("source", "lang", "n_bytes") for f in (F.min, F.max)])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -58,14 +59,30 @@ class ByteBpe:
                 bare_ids += [raw[a:z] for a, z in zip([0, *[e + 4 for e in ends]], [*ends, len(raw)], strict=True)]
         return [self.feed + x if u[0] == "\n" else x for u, x in zip(found, bare_ids, strict=True)]
 
+    def all(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
+        whole, found = {}, []
+        for i, text in enumerate(texts):
+            if text and (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or ODD_SPACE.search(text)):
+                whole[i] = self.by_library([text])[0]
+            if not text or i in whole:
+                found.append([])
+            else:
+                found.append(units(text))
+                found[-1][0] = "\r" + found[-1][0]  # no blank before the first word; a carriage return is odd space, so no unit starts with one
+        out = self.cache.join(found)
+        for i, x in whole.items():
+            out[i] = x
+        return out
+
     def __call__(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or ODD_SPACE.search(text):
-            return self.by_library([text])[0]
-        found = units(text)
-        found[0] = "\r" + found[0]  # no blank before the first word; a carriage return is odd space, so no unit starts with one
-        return self.cache.join(found)
+        return self.all([text])[0]
+
+
+@lru_cache(1)
+def byte_bpe(path: str) -> ByteBpe:
+    """One for each Python worker: its cache serves all tasks that the worker runs."""
+    return ByteBpe(path)
 
 
 def encoded(documents: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame:
@@ -78,9 +95,9 @@ def encoded(documents: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        bpe, end, at = ByteBpe(vocab), np.array([end_id], dtype="<u4").tobytes(), 0
+        bpe, end, at = byte_bpe(vocab), np.array([end_id], dtype="<u4").tobytes(), 0
         for b in batches:
-            ids = [bpe(t) + end for t in b.column("text").to_pylist()]
+            ids = [x + end for x in bpe.all(b.column("text").to_pylist())]
             n = np.array([len(x) // 4 for x in ids], dtype=np.int64)
             ends = np.cumsum(n)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, ends].astype(np.int32)), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))

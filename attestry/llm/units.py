@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from itertools import chain
 
 #: Units in each of the cache's two generations, for each Python worker.
 CACHE_UNITS = 400_000
 #: A longer unit is encoded but not kept.
 CACHE_CHARS = 64
+#: Units that are looked up at a time, over as many texts.
+JOINED = 200_000
 ODD_SPACE = re.compile(r"[^\S \n]")
 
 
@@ -27,18 +30,33 @@ class UnitCache:
     def __init__(self, encode: Callable[[list[str]], Iterable[bytes]], size: int = CACHE_UNITS) -> None:
         self.encode, self.size, self.young, self.old = encode, size, {}, {}
 
-    def join(self, found: list[str]) -> bytes:
-        young = self.young
-        try:
-            return b"".join([young[u] for u in found])
-        except KeyError:
-            pass
-        missing = {u for u in found if u not in young}
+    def join(self, texts: list[list[str]]) -> list[bytes]:
+        """The ids of each text, given as units. New units of all these texts are encoded together."""
+        out: list[bytes] = []
+        start = 0
+        while start < len(texts):
+            stop, n = start + 1, len(texts[start])
+            while stop < len(texts) and n + len(texts[stop]) <= JOINED:
+                n, stop = n + len(texts[stop]), stop + 1
+            found = list(chain.from_iterable(texts[start:stop]))
+            ids = list(map(self.young.get, found))
+            if None in ids:
+                at = [i for i, x in enumerate(ids) if x is None]
+                fresh = self.resolved({found[i] for i in at})
+                for i in at:
+                    ids[i] = fresh[found[i]]
+            a = 0
+            for text in texts[start:stop]:
+                out.append(b"".join(ids[a : a + len(text)]))
+                a += len(text)
+            start = stop
+        return out
+
+    def resolved(self, missing: set[str]) -> dict[str, bytes]:
         ids = {u: self.old[u] for u in missing if u in self.old}
         new = list(missing - ids.keys())
         ids.update(zip(new, self.encode(new), strict=True))
-        out = b"".join([young[u] if u in young else ids[u] for u in found])
-        if len(young) + len(ids) > self.size:
-            self.old, self.young = young, {}
+        if len(self.young) + len(ids) > self.size:
+            self.old, self.young = self.young, {}
         self.young.update((u, x) for u, x in ids.items() if len(u) <= CACHE_CHARS)
-        return out
+        return ids

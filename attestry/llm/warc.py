@@ -85,8 +85,9 @@ def resolve(records: DataFrame) -> DataFrame:
     `mismatch` if they differ; `orphan` without an earlier response. A resolved or unverified revisit has the source's
     headers, with those that a 304 answer may change taken from itself. Nulls: a record without a URL, time or id is an
     orphan if it is a revisit and never a source; null headers are none. Equal ids must not occur. An empty table gives
-    no rows. Payloads are not moved: join them by source_id.
+    no rows. Columns that have the names of results are replaced. Payloads are not moved: join them by source_id.
     """
+    records = records.drop("canonical_url", "source_id", "outcome", "merged_headers")
     keyed = records.withColumn("canonical_url", canonical_url(F.col("url")))
     usable = F.col("canonical_url").isNotNull() & F.col("time").isNotNull() & F.col("record_id").isNotNull()
     slim = keyed.where(usable).select("canonical_url", "time", (F.col("type") == "response").cast("int").alias("full"), "record_id", F.when(F.col("type") == "response", F.col("record_id")).alias("source"))
