@@ -94,16 +94,17 @@ def support(records: DataFrame, rules: list[Rule], admission: Admission = Admiss
     spark, a = records.sparkSession, admission
     counts = rule_counts(training(records, allow_unsplit), rules)
     rows = [(i, r.rule_id, r.lens, r.layer, r.status, list(r.keys)) for i, r in enumerate(rules)]
-    known = F.broadcast(spark.createDataFrame(rows, "rule int, rule_id string, lens string, layer string, status string, keys array<string>"))  # the registry
+    known = spark.createDataFrame(rows, "rule int, rule_id string, lens string, layer string, status string, keys array<string>")  # the registry
     own = (F.col("layer") == "shared") | F.array_contains("keys", F.col("scholar_key"))
     seen = F.when(own & (F.col("s") > 0) & (F.coalesce("period", F.lit("")) != ""), F.col("period"))
-    per = counts.join(known, "rule").groupBy("rule", "rule_id", "lens", "layer", "status").agg(
+    # a rule without a single record still gets its row
+    per = known.join(counts, "rule", "left").fillna(0, ["n", "s"]).groupBy("rule", "rule_id", "lens", "layer", "status").agg(
         F.sum(F.when(own, F.col("s")).otherwise(0)).alias("n_support"), F.sum(F.when(own, F.col("n")).otherwise(0)).alias("n_annotated"),
         F.sum(F.when(own, 0).otherwise(F.col("s"))).alias("n_other_support"), F.sum(F.when(own, 0).otherwise(F.col("n"))).alias("n_other"),
         F.collect_set(seen).alias("seen"), F.count_distinct(F.when(F.col("s") > 0, F.col("scholar_key"))).alias("with_support"), F.count_distinct("scholar_key").alias("traditions"),
     )
     shared = F.col("layer") == "shared"
-    out = per.withColumn("n_periods", F.size("seen").cast("long")).withColumn("share", F.when(shared, F.col("with_support") / F.col("traditions")))
+    out = per.withColumn("n_periods", F.size("seen").cast("long")).withColumn("share", F.when(shared, F.when(F.col("traditions") > 0, F.col("with_support") / F.col("traditions")).otherwise(0.0)))
     out = out.withColumn("lift", F.when(~shared, lift(F.col("n_support"), F.col("n_annotated"), F.col("n_other_support"), F.col("n_other"))))
     why = F.array(
         F.when(F.col("n_support") < a.min_papers, "papers"), F.when(shared & (F.col("share") < a.shared_min_scholar_share), "share"),
