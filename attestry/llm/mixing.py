@@ -80,3 +80,29 @@ def mixed_documents(documents: DataFrame, **options) -> DataFrame:
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.when(fits < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
+
+
+ORACLE_SQL = f"""
+with docs as (
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '{WORD}')), 0)::bigint as size,
+    md5('{SEED}:' || coalesce(doc_id::varchar, 'null')) as key from documents
+), sources as (
+  select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % {len(WEIGHTS)} + 1 as weight from docs group by 1
+), stops as (
+  select *, {MAX_EPOCHS} * source_size as most, sum(source_size) over () as total, sum(weight) over () as weights,
+    coalesce(sum({MAX_EPOCHS} * source_size) over w, 0) as most_before, coalesce(sum(weight) over w, 0) as weight_before
+  from sources window w as (order by {MAX_EPOCHS} * source_size / weight::double, source nulls last rows between unbounded preceding and 1 preceding)
+), capped as (
+  select *, most * (weights - weight_before) <= weight * (total - most_before) as stopped from stops
+), line as (
+  select coalesce(sum(most) filter (stopped), 0) as given, coalesce(sum(weight) filter (stopped), 0) as gone from capped
+), targets as (
+  select source, source_size, case when stopped then most::double else weight::double * (total - given)::double / (weights - gone)::double end as target from capped, line
+), placed as (
+  select d.*, t.source_size, t.target, round(t.target)::bigint as budget,
+    coalesce(sum(d.size) over (partition by d.source order by d.key, d.doc_id nulls first, d.size rows between unbounded preceding and 1 preceding), 0)::bigint as before_
+  from docs d join targets t on d.source is not distinct from t.source
+)
+select doc_id, size, source_size, target, (case when source_size > 0 then budget // source_size * size
+  + greatest(0, least(size, budget - budget // source_size * source_size - before_)) else 0 end)::bigint as taken from placed
+"""

@@ -52,4 +52,4 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_wrappers, op2_hilbert_shards, op3_sentencepiece, op4_warc_revisits, op5_toxicity_chain, op6_source_mix, op7_simhash, op8_bloom_lookup, op9_decision_list, op10_token_files)}
 
-ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": warc.ORACLE_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_warc_revisits": warc.ORACLE_SQL, "op6_source_mix": mixing.ORACLE_SQL}
