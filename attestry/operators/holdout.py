@@ -13,6 +13,8 @@ FAMILIES = ("PZ", "GAP", "CON", "MECH", "CTR")
 VARIANTS = ("baseline", "rules", "rules_named")
 CONTRASTS = (("rules", "baseline"), ("rules", "majority"), ("baseline", "majority"), ("rules_named", "rules"))
 DRAWS = 20
+#: Tries of a random draw beyond the number of codes, for places that come twice.
+SPARE = 8
 MOST_CODES = 3
 
 
@@ -45,17 +47,23 @@ def majority(gold: DataFrame) -> DataFrame:
 
 def random_scores(gold: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFrame:
     """(paper_id, score): mean over draws of a paper's score for k codes drawn, without replacement, from the multiset of
-    training codes. A draw takes the least hashes of (seed, paper, draw, family, code, copy): a hash for each copy."""
+    training codes.
+
+    A draw takes the first k different places of hash(seed, paper, draw, family, try) mod the size of the multiset; a
+    place belongs to a code by running counts in the order of codes. So a draw costs k + SPARE hashes, whatever the counts.
+    """
     held = gold.where("split = 'heldout'").select("paper_id", "family", "gold")
-    pool = code_frequencies(gold).join(F.broadcast(set_sizes(gold)), "family").groupBy("family", "k").agg(F.array_sort(F.collect_list(F.struct("code", "n"))).alias("pool"))  # a codebook's family
+    ends = F.sum("n").over(Window.partitionBy("family").orderBy("code").rowsBetween(Window.unboundedPreceding, 0))  # a family of the codebook
+    pool = code_frequencies(gold).withColumn("end", ends).join(F.broadcast(set_sizes(gold)), "family").groupBy("family", "k").agg(F.array_sort(F.collect_list(F.struct("end", "code"))).alias("pool"), F.sum("n").alias("all"))
     rows = held.join(F.broadcast(pool), "family", "left").withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
 
-    def ranked(c: Column) -> Column:
-        # of n copies with uniform keys the least counts first; taken codes are de-duplicated afterwards
-        return F.transform(F.sequence(F.lit(1).cast("long"), c["n"]), lambda i: F.struct(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("paper_id").cast("string"), F.col("draw").cast("string"), F.col("family"), c["code"], i.cast("string"))).alias("h"), c["code"].alias("code")))
+    def place(i: Column) -> Column:
+        word = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("paper_id").cast("string"), F.col("draw").cast("string"), F.col("family"), i.cast("string")))
+        return F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % F.col("all")
 
-    drawn = F.transform(F.slice(F.array_sort(F.flatten(F.transform("pool", ranked))), F.lit(1), F.col("k")), lambda x: x["code"])
-    scored = rows.select("paper_id", "draw", set_f1(F.coalesce(drawn, F.array().cast("array<string>")), F.col("gold")).alias("f1"))
+    places = F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k") + SPARE), place)), F.lit(1), F.col("k"))
+    drawn = F.transform(places, lambda p: F.get(F.filter("pool", lambda c: c["end"] > p), F.lit(0))["code"])
+    scored = rows.select("paper_id", "draw", set_f1(F.coalesce(F.array_distinct(drawn), F.array().cast("array<string>")), F.col("gold")).alias("f1"))
     return scored.groupBy("paper_id", "draw").agg(F.avg("f1").alias("s")).groupBy("paper_id").agg(F.avg("s").alias("score"))
 
 

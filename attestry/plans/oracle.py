@@ -189,7 +189,14 @@ top_ as (select family, code, row_number() over (partition by family order by n
 maj_ as (select t.family, list_sort(list(code)) as pred from top_ t join k_ using (family) where place <= k group by 1)"""
 SQL["gold_by_family"] = f"with {GOLD} select paper_id, split, family, coalesce(array_to_string(gold, ','), '') as gold from gold_"
 SQL["majority_topk"] = f"with {GOLD} select family, k, array_to_string(pred, ',') as pred from maj_ join k_ using (family)"
-SQL["random_baseline"] = f"with {GOLD} select family, code, n, round(n / sum(n) over (partition by family), 6) as share from freq_"
+SQL["code_frequencies"] = f"with {GOLD} select family, code, n, round(n / sum(n) over (partition by family), 6) as share from freq_"
+SQL["random_baseline"] = f"""with {GOLD}, pool_ as (select family, code, sum(n) over w as end_, sum(n) over w - n as begin_ from freq_ window w as (partition by family order by code rows unbounded preceding)),
+size_ as (select family, sum(n)::bigint as all_ from freq_ group by 1), held_ as (select paper_id, family, coalesce(gold, []) as gold from gold_ where split = 'heldout'),
+tries_ as (select h.paper_id, h.family, draw, i, k, ('0x' || substr(md5('0:' || h.paper_id || ':' || draw || ':' || h.family || ':' || i), 1, 8))::bigint % all_ as place from held_ h join size_ using (family) join k_ using (family), range(1, 4) d(draw), range(1, 100) t(i) where i <= k + 8),
+first_ as (select paper_id, family, draw, k, place, min(i) as i from tries_ group by all), taken_ as (select * from first_ qualify row_number() over (partition by paper_id, family, draw order by i) <= k),
+drawn_ as (select paper_id, t.family, draw, list(distinct code) as pred from taken_ t join pool_ p on p.family = t.family and place >= begin_ and place < end_ group by 1, 2, 3),
+f_ as (select h.paper_id, d.draw, 2.0 * len(list_intersect(pred, gold)) / (len(pred) + len(gold)) as f1 from drawn_ d join held_ h using (paper_id, family)), s_ as (select paper_id, draw, avg(f1) as s from f_ group by 1, 2)
+select paper_id, round(avg(s), 6) as score from s_ group by 1"""
 SCORES = f"""{GOLD}, pred_ as (select g.paper_id, 'majority' as system, g.family, m.pred, coalesce(g.gold, []) as gold from gold_ g join maj_ m using (family) where split = 'heldout'
   union all select paper_id, 'fixed', family, [family || '-1'], coalesce(gold, []) from gold_ where split = 'heldout'),
 f1_ as (select paper_id, system, case when len(pred) = 0 and len(gold) = 0 then null else 2.0 * len(list_intersect(pred, gold)) / (len(pred) + len(gold)) end as f1 from pred_),

@@ -431,12 +431,16 @@ def holdout_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How random draws weigh the codes: their frequencies in the training part."""
+def code_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = holdout.code_frequencies(gold(spark, sf_dir))
     return f.withColumn("share", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("family")), 6)).select("family", "code", "n", "share")
 
 
+@query
+def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return holdout.random_scores(gold(spark, sf_dir), draws=3).select("paper_id", F.round("score", 6).alias("score"))
+
+
 # Blind rating and comments.
 
 
