@@ -21,6 +21,9 @@ ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
 #: New units that go to the library in one text.
 JOINED_UNITS = 128
+#: Punctuation that stands behind words, and how many stretches of it a worker keeps.
+PUNCTUATION = '.,;:!?#$%&*()[]|<>"-/'
+MOST_TAILS = 10_000
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -41,13 +44,34 @@ class ByteBpe:
 
         self.library = Tokenizer.from_file(path)
         self.feed = self.by_library(["\n"])[0]
-        self.cache = UnitCache(self.units_by_library)
+        self.cache, self.tails = UnitCache(self.new_units), {}
 
     def by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def new_units(self, found: list[str]) -> list[bytes]:
+        """A word with punctuation behind it is a word and a stretch of its own: the word is often known already."""
+        parts: dict[str, tuple[str, str]] = {}
+        for u in found:
+            core = u.rstrip(PUNCTUATION)
+            if len(core) < len(u) and core.isalpha():
+                parts[u] = (core, u[len(core) :])
+        known = {c: self.cache.get(c) for c in {c for c, _ in parts.values()}}
+        new = [u for u in found if u not in parts]
+        cores = [c for c in {c for c, x in known.items() if x is None}.difference(new)]
+        ids = dict(zip([*new, *cores], self.units_by_library([*new, *cores]), strict=True))
+        self.cache.young.update((c, ids[c]) for c in cores)
+        for tail in {t for _, t in parts.values()} - self.tails.keys():
+            if len(self.tails) > MOST_TAILS:
+                self.tails.clear()
+            self.tails[tail] = self.by_library([tail])[0]
+        tails = self.tails
+        return [ids[u] if u not in parts else (known[parts[u][0]] or ids[parts[u][0]]) + (tails.get(parts[u][1]) or self.by_library([parts[u][1]])[0]) for u in found]
+
     def units_by_library(self, found: list[str]) -> list[bytes]:
         """New units, many in one text: a line feed between them keeps them apart and marks where each ends."""
+        if not found:
+            return []
         bare = [u[1:] if u[0] in "\r\n" else " " + u for u in found]
         if len(self.feed) != 4:
             bare_ids = self.by_library(bare)

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable
+from contextlib import suppress
 from itertools import chain
 
 #: Units in each of the cache's two generations, for each Python worker.
-CACHE_UNITS = 400_000
+CACHE_UNITS = 700_000
 #: A longer unit is encoded but not kept.
 CACHE_CHARS = 64
 #: Units that are looked up at a time, over as many texts.
@@ -41,7 +42,11 @@ class UnitCache:
             found = list(chain.from_iterable(texts[start:stop]))
             ids = list(map(self.young.get, found))
             if None in ids:
-                at = [i for i, x in enumerate(ids) if x is None]
+                at = []
+                with suppress(ValueError):  # the end of the list
+                    i = -1
+                    while True:
+                        at.append(i := ids.index(None, i + 1))
                 fresh = self.resolved({found[i] for i in at})
                 for i in at:
                     ids[i] = fresh[found[i]]
@@ -52,6 +57,9 @@ class UnitCache:
             start = stop
         return out
 
+    def get(self, unit: str) -> bytes | None:
+        return self.young.get(unit) or self.old.get(unit)
+
     def resolved(self, missing: set[str]) -> dict[str, bytes]:
         ids = {u: self.old[u] for u in missing if u in self.old}
         new = list(missing - ids.keys())
