@@ -231,12 +231,17 @@ def near_duplicates(documents: DataFrame, radius: int = RADIUS, shingle_words: i
 
 
 def one_of_each(documents: DataFrame, **options) -> DataFrame:
-    """The documents without near copies: of each component the row with the smallest doc_id.
+    """The documents without those whose fingerprints are near: of each component the row with the smallest doc_id."""
+    return first_of_each(documents, near_duplicates(documents, **options))
+
+
+def first_of_each(documents: DataFrame, groups: DataFrame) -> DataFrame:
+    """The documents without near copies: of each component in groups(doc_id, component_id) the row with the smallest doc_id.
 
     Of rows that share this id the one with the least text stays. A row without an id can't be named by the decision,
     and stays.
     """
-    gone = near_duplicates(documents, **options).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = groups.where("doc_id <> component_id").select("doc_id").distinct()
     kept = documents.join(gone, "doc_id", "left_anti")
     shared = documents.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if shared.take(1):

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from attestry.llm import decision_lists, mixing, sentencepiece_viterbi, simhash, toxicity
+from attestry.llm import decision_lists, mixing, sentencepiece_viterbi, shingle_pairs, simhash, toxicity
 from attestry.llm.common import read_table, written
 
 
@@ -21,8 +21,8 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document, that of the smallest id, of each group of near copies."""
-    return simhash.one_of_each(docs)
+    """Keeps one document, that of the smallest id, of each group of near copies: 5-word shingles alike to 0.8 or more."""
+    return simhash.first_of_each(docs, shingle_pairs.near_groups(docs))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
