@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import map_batches, written
 
-#: Labelled rows that a model is fitted on, at most: half with the decisive category, half without, by least md5.
+#: Labelled rows that a model is fitted on, at most: half with the decisive category, half without, by least md5; each
+#: half is weighted back to its share of all labels.
 LABELLED_ROWS = 20_000
 #: Words that each category puts into the vocabulary: those with the largest likelihood ratio.
 WORDS = 400
@@ -128,49 +129,63 @@ def logit(p: np.ndarray) -> np.ndarray:
     return np.log(q / (1 - q))
 
 
-def cut_of(p: np.ndarray, y: np.ndarray) -> float:
-    """The cut with the best F1 on out-of-fold probabilities, halfway (in log odds) to the next row below."""
+def cut_of(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
+    """The cut with the best F1 of the weighted rows on out-of-fold probabilities, halfway (in log odds) to the next row below."""
     if not y.any() or y.all():
         return 0.5
     order = np.argsort(-p, kind="stable")
-    hits = np.cumsum(y[order])
+    hits, called = np.cumsum((weight * y)[order]), np.cumsum(weight[order])
     ends = np.flatnonzero(np.r_[p[order][1:] != p[order][:-1], True])
-    f1 = 2 * hits[ends] / (ends + 1 + y.sum())
+    f1 = 2 * hits[ends] / (called[ends] + (weight * y).sum())
     at = ends[int(np.argmax(f1))]
     here = logit(p[order][at])
     below = logit(p[order][at + 1]) if at + 1 < len(p) else here - 2
     return max(LEAST_CUT, float(1 / (1 + np.exp(-(here + below) / 2))))
 
 
-def fit_chain(categories: list[str], words: dict[bytes, int], x: Sparse, y: np.ndarray, fold: np.ndarray) -> Chain:
+def fit_chain(categories: list[str], words: dict[bytes, int], x: Sparse, y: np.ndarray, fold: np.ndarray, weight: np.ndarray | None = None) -> Chain:
     """Models in order. What a later one sees of an earlier one in training are predictions of models that did not see the row."""
     chain, held_out = Chain(categories, words), np.zeros((x.rows, 0))
+    weight = np.ones(x.rows) if weight is None else weight
     for k in range(len(categories)):
         extra = np.c_[logit(held_out), np.ones(x.rows)]
         target, p = y[:, k].astype(float), np.zeros(x.rows)
         for f in range(FOLDS):
-            w = fit(x, extra, target, (fold != f).astype(float))
+            w = fit(x, extra, target, weight * (fold != f))
             z = x.times(w[: x.cols]) + extra @ w[x.cols :]
             p = np.where(fold == f, 1 / (1 + np.exp(-np.clip(z, -30, 30))), p)
-        chain.weights.append(fit(x, extra, target, np.ones(x.rows)))
-        chain.cuts.append(cut_of(p, y[:, k]))
+        chain.weights.append(fit(x, extra, target, weight))
+        chain.cuts.append(cut_of(p, y[:, k], weight))
         held_out = np.c_[held_out, p]
     return chain
 
 
-def training_rows(documents: DataFrame, labels: DataFrame, categories: dict[str, Column], decisive: str, rows: int, seed: int) -> DataFrame:
+def known_labels(labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
+    """(doc_id, one 0/1 column for each category), a row for each labelled id."""
+    return labels.where("doc_id is not null").select("doc_id", *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in categories.items()]).groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories])
+
+
+def training_rows(documents: DataFrame, known: DataFrame, decisive: str, rows: int, seed: int) -> DataFrame:
     """(text, one 0/1 column for each category) of a bounded sample of labelled rows, half of them with the decisive category."""
-    known = labels.where("doc_id is not null").select("doc_id", *[F.coalesce(c, F.lit(False)).cast("int").alias(k) for k, c in categories.items()]).groupBy("doc_id").agg(*[F.max(k).alias(k) for k in categories])
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     half = [known.where(F.col(decisive) == v).orderBy(*order).limit(rows // 2) for v in (1, 0)]
     picked = F.broadcast(half[0].unionByName(half[1]))  # of `rows` rows at most
     return documents.select("doc_id", "text").join(picked, "doc_id")
 
 
+def class_weights(known: DataFrame, decisive: str, rows: int) -> np.ndarray:
+    """What a sampled row without and with the decisive category counts, so that both have their share of all labels; 1 on the mean."""
+    counts = {r[0]: r[1] for r in known.groupBy(decisive).count().collect()}
+    every = np.array([counts.get(v, 0) for v in (0, 1)], float)
+    picked = np.minimum(every, rows // 2)
+    return every / np.maximum(picked, 1) * picked.sum() / max(every.sum(), 1)
+
+
 def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column], decisive: str, rows: int = LABELLED_ROWS, words: int = WORDS, seed: int = SEED) -> Chain:
     """A chain over `categories` (conditions on labels, in order)."""
     names = list(categories)
-    sample = written(training_rows(documents, labels, categories, decisive, rows, seed), "labelled")
+    known = known_labels(labels, categories)
+    sample = written(training_rows(documents, known, decisive, rows, seed), "labelled")
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = [Counter() for _ in range(len(names) + 1)]
@@ -215,7 +230,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
     rows_of = map_batches(sample, matrix, "doc_id long, cols array<long>, fold long, " + ", ".join(f"`{c}` int" for c in names)).orderBy("doc_id", "fold", "cols").toPandas()
     sizes = rows_of["cols"].map(len).to_numpy()
     x = Sparse(np.repeat(np.arange(len(rows_of)), sizes), np.concatenate(rows_of["cols"].to_numpy()).astype(np.int64), len(rows_of), len(chosen))
-    return fit_chain(names, chosen, x, rows_of[names].to_numpy(), rows_of["fold"].to_numpy())
+    return fit_chain(names, chosen, x, rows_of[names].to_numpy(), rows_of["fold"].to_numpy(), class_weights(known, decisive, rows)[rows_of[decisive].to_numpy()])
 
 
 def score(documents: DataFrame, chain: Chain, decisive: str, whole: bool = False) -> DataFrame:

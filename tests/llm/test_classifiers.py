@@ -100,6 +100,16 @@ def test_held_out_accuracy_of_the_chain(spark):
     assert kept == {i for i, r in got.items() if r.kept}
 
 
+def test_flags_are_alike_with_the_bound_active_and_inactive(spark):
+    """A word of which a tenth is toxic is not flagged, whatever the mix that is fitted on."""
+    name = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    kinds = [("sure", 1)] * 100 + [("odd", 1)] * 60 + [("odd", 0)] * 540 + [("", 1)] * 40 + [("", 0)] * 1260
+    docs = spark.createDataFrame([(i, f"{w} u{name(i)}") for i, (w, _) in enumerate(kinds)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1, t) for i, (_, t) in enumerate(kinds)], "doc_id long, quality int, toxic int")
+    for rows in (tx.LABELLED_ROWS, 400):
+        assert {r.doc_id for r in tx.judge(docs, labels, rows=rows).where("toxic").collect()} == set(range(100)), rows
+
+
 def test_later_models_use_earlier_probabilities():
     rng = np.random.default_rng(0)
     n = 800
