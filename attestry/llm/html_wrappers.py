@@ -196,7 +196,7 @@ def skeleton(tree: list) -> list[list]:
 
 
 def roles(wrapper: list[list]) -> dict:
-    """{"main": paths of the article, "out": paths of furniture, "template": {path: text}} of a host's wrapper."""
+    """{"main": paths of the article, "named": paths whose words say content, "out": paths of furniture, "template": {path: text}} of a host's wrapper."""
     main: list[str] = []
     out: list[str] = []
     template: dict[str, str] = {}
@@ -242,16 +242,34 @@ def roles(wrapper: list[list]) -> dict:
         return total
 
     walk(wrapper, "", False)
-    if not main:
-        named = [p for p in weight if parts(p.rsplit("/", 1)[1])[1] & MAIN_WORDS]
-        named = [p for p in named if not any(p != q and p.startswith(q + "/") for q in named)]
-        main = named
-    return {"main": sorted(set(main)), "out": sorted(set(out)), "template": template if has_slot else {}}
+    named = [p for p in weight if parts(p.rsplit("/", 1)[1])[1] & MAIN_WORDS]
+    named = [p for p in named if not any(p != q and p.startswith(q + "/") for q in named)]
+    return {"main": sorted(set(main)), "named": sorted(set(named)), "out": sorted(set(out)), "template": template if has_slot else {}}
+
+
+def paths_of(tree: list, out: set[str]) -> set[str]:
+    """The paths of a page's elements that are not in furniture."""
+    found: set[str] = set()
+
+    def walk(nodes: list, path: str) -> None:
+        for x in nodes:
+            if not isinstance(x, str) and (at := f"{path}/{x[0]}") not in out:
+                found.add(at)
+                walk(x[1], at)
+
+    walk(tree, "")
+    return found
 
 
 def article_text(html: str | None, found: dict) -> str:
-    """The blocks of a page's article, by the roles of its host's wrapper."""
-    main, out, template = set(found["main"]), set(found["out"]), found["template"]
+    """The blocks of a page's article, by the roles of its host's wrapper.
+
+    A page without any of the host's article paths is of another template: its named content counts, or else its body.
+    """
+    out, tree = set(found["out"]), page_tree(html or "")[1]
+    own, main = paths_of(tree, out), set(found["main"])
+    template = found["template"] if main & own else {}
+    main = main & own or set(found["named"]) & own
     blocks: list[list[str]] = [[]]
 
     def walk(nodes: list, path: str, inside: bool) -> None:
@@ -274,7 +292,7 @@ def article_text(html: str | None, found: dict) -> str:
             if block:
                 blocks.append([])
 
-    walk(page_tree(html or "")[1], "", not main)
+    walk(tree, "", not main)
     texts = (WHITE.sub(" ", unescape("".join(b))).strip(" ") for b in blocks)
     return "\n".join(t for t in texts if t)
 

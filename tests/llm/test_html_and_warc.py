@@ -126,3 +126,15 @@ def test_captures_equal_sql(spark):
     con.sql("create view pages as select * from '/root/testdata/sf0.001/pages.parquet'")
     want = {tuple(r) for r in con.sql("select record_id, canonical_url, type, capture_time, source_id, outcome, merged_headers from (" + ORACLE_SQL["op4_warc_revisits"] + ")").fetchall()}
     assert {tuple(r) for r in QUERIES["op4_warc_revisits"](spark, "/root/testdata/sf0.001").collect()} == want
+
+
+def texts_of(spark, pages):
+    df = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(pages)], "page_id long, url string, html string")
+    return [r.text for r in sorted(hw.extract(df).collect(), key=lambda r: r.page_id)]
+
+
+def test_pages_of_another_template_keep_their_text(spark):
+    a, b, c = "<body><nav>menu</nav><article><p>one {0}</p></article></body>", "<body><nav>menu</nav><div class='content'><p>two {0}</p></div><p>beside</p></body>", "<body><nav>menu</nav><p>three {0}</p></body>"
+    for url in ("http://x.org/{0}", None, "/rel/{0}"):
+        pages = [(url and url.format(i), t.format(i)) for i, t in enumerate([a, b, c, a, b, c])]
+        assert texts_of(spark, pages) == ["one 0", "two 1", "three 2", "one 3", "two 4", "three 5"]
