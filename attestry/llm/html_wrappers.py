@@ -9,6 +9,7 @@ are the article, which are furniture, and which texts are the template's own.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Iterator
@@ -41,8 +42,11 @@ MAIN_WORDS = frozenset("article articlebody main content post entry story mainco
 MAX_PARTS = 48
 #: Elements nested deeper are treated as if they were not there; their text stays.
 MAX_DEPTH = 120
-#: On how many pages a text has to stand, always the same, to be the template's own; headings never are.
+#: On how many articles a text has to stand, always the same, to be the template's own; headings never are.
 TEMPLATE_PAGES = 5
+#: Articles that are sampled of a host and of each text, those with the least digests: a text is the template's own if it
+#: stands on all that are sampled of the host. Copies of an article are one: its digest is that of its three longest texts.
+SAMPLED = 16
 GROUP = "()"
 
 
@@ -112,7 +116,8 @@ def close_open(stack: list, names: tuple[str, ...]) -> None:
             return
 
 
-# A wrapper node: [signature, quantifier, children], a text slot ["#", quantifier, text or None, pages]. Quantifiers:
+# A wrapper node: [signature, quantifier, children], a text slot ["#", quantifier, text or None, sampled articles that have
+# it]. A host's wrapper begins with a node ["", "1", [], sampled articles]; one without it counts pages in the slots. Quantifiers:
 # "1", "?" optional, "+" repeated, "*" both. A group of nodes has the signature GROUP.
 
 
@@ -123,8 +128,16 @@ def either(a: str, b: str) -> str:
 def merged(a: list, b: list, quantifier: str, pages: int) -> list:
     """Two nodes of one signature as one. pages: 1 if both are from one page, else 0."""
     if a[0] == "#":
-        return ["#", quantifier, a[2] if a[2] == b[2] else None, max(a[3], b[3]) if pages else a[3] + b[3]]
-    return [a[0], quantifier, aligned(a[2], b[2], pages), 0]
+        same = a[2] is not None and a[2] == b[2]
+        return ["#", quantifier, a[2] if same else None, sampled(a[3], b[3], pages) if same or isinstance(a[3], int) else []]
+    return [a[0], quantifier, aligned(a[2], b[2], pages), sampled(a[3], b[3]) if a[0] == "" else 0]
+
+
+def sampled(a: list[int] | int, b: list[int] | int, pages: int = 0) -> list[int] | int:
+    """The articles with the least digests of both; of wrappers without digests the count of pages."""
+    if isinstance(a, int):
+        return max(a, b) if pages else a + b
+    return a if a == b else sorted({*a, *b})[:SAMPLED]
 
 
 def optional(node: list) -> list:
@@ -182,25 +195,49 @@ def aligned(a: list[list], b: list[list], pages: int = 0) -> list[list]:
     return folded(out + [optional(x) for x in a[i:]] + [optional(x) for x in b[j:]])
 
 
-def skeleton(tree: list) -> list[list]:
+def text_key(text: str) -> str:
+    """The text in normal form, or a digest of one over 200 characters."""
+    text = WHITE.sub(" ", text).strip(" ")
+    return text if len(text) <= 200 else "#" + hashlib.md5(text.encode("utf-8", "surrogatepass")).hexdigest()
+
+
+def texts_in(tree: list) -> Iterator[str]:
+    for x in tree[1]:
+        if isinstance(x, str):
+            yield x
+        else:
+            yield from texts_in(x)
+
+
+def skeleton(tree: list, article: list[int] | int = 1) -> list[list]:
     """A page as a wrapper of its own."""
     out: list[list] = []
     for x in tree[1]:
         if isinstance(x, str):
-            text = WHITE.sub(" ", x).strip(" ")
+            text = text_key(x)
             if text:
-                out.append(["#", "1", text if len(text) <= 200 else None, 1])
+                out.append(["#", "1", text, article])
         else:
-            out.append([x[0], "1", skeleton(x), 0])
+            out.append([x[0], "1", skeleton(x, article), 0])
     return folded(out)
 
 
+def page_wrapper(html: str | None) -> list[list]:
+    """A page as a host's wrapper, with the digest of its article."""
+    tree = page_tree(html or "")
+    longest = sorted({WHITE.sub(" ", t).strip(" ") for t in texts_in(tree)}, key=lambda t: (-len(t), t))[:3]
+    article = [int.from_bytes(hashlib.md5("\n".join(longest).encode("utf-8", "surrogatepass")).digest()[:6], "big")]
+    return [["", "1", [], article], *skeleton(tree, article)]
+
+
 def roles(wrapper: list[list]) -> dict:
     """{"main": paths of the article, "named": paths whose words say content, "out": paths of furniture, "template": {path: text}} of a host's wrapper."""
     main: list[str] = []
     out: list[str] = []
     template: dict[str, str] = {}
+    varied: set[str] = set()
     has_slot: list[bool] = []
+    articles = next((x[3] for x in wrapper if x[0] == ""), None)
     weight: dict[str, int] = {}
 
     def parts(sig: str) -> tuple[str, set[str]]:
@@ -211,6 +248,11 @@ def roles(wrapper: list[list]) -> dict:
         tag, words = parts(sig)
         return tag in MAIN_TAGS and not words & FURNITURE_WORDS or "main" in words and not words & FURNITURE_WORDS
 
+    def own_line(path: str, nodes: list[list]) -> bool:
+        """Whether a text is a block of its own, no heading and not part of a sentence."""
+        tag = parts(path.rsplit("/", 1)[-1])[0]
+        return (tag in BLOCK or tag in ("td", "th")) and not re.fullmatch("h[1-6]", tag) and all(x[0] == "#" or parts(x[0])[0] in BLOCK for x in nodes)
+
     def holds_main(nodes: list[list]) -> bool:
         return any(x[0] != "#" and (x[0] != GROUP and is_main(x[0]) or holds_main(x[2])) for x in nodes)
 
@@ -221,12 +263,15 @@ def roles(wrapper: list[list]) -> dict:
                 total += walk(x[2], path, inside)
             elif x[0] == "#":
                 at = f"{path}/#"
-                if x[2] is None:
+                if x[2] is None or template.get(at, x[2]) != x[2]:
+                    varied.add(at)
                     if inside:  # an article that is the same on all pages is no template
                         has_slot.append(True)
                     total += 1
-                elif x[3] >= TEMPLATE_PAGES and not re.search(r"/h[1-6][^/]*$", path):
+                elif articles and x[3] == articles and len(articles) >= TEMPLATE_PAGES and own_line(path, nodes):
                     template[at] = x[2]
+                else:
+                    varied.add(at)
             else:
                 at, (tag, words) = f"{path}/{x[0]}", parts(x[0])
                 furniture = tag in FURNITURE_TAGS or words & FURNITURE_WORDS or not inside and (tag == "header" or words & HEADER_WORDS)
@@ -244,7 +289,7 @@ def roles(wrapper: list[list]) -> dict:
     walk(wrapper, "", False)
     named = [p for p in weight if parts(p.rsplit("/", 1)[1])[1] & MAIN_WORDS]
     named = [p for p in named if not any(p != q and p.startswith(q + "/") for q in named)]
-    return {"main": sorted(set(main)), "named": sorted(set(named)), "out": sorted(set(out)), "template": template if has_slot else {}}
+    return {"main": sorted(set(main)), "named": sorted(set(named)), "out": sorted(set(out)), "template": {k: v for k, v in template.items() if k not in varied} if has_slot else {}}
 
 
 def paths_of(tree: list, out: set[str]) -> set[str]:
@@ -275,7 +320,7 @@ def article_text(html: str | None, found: dict) -> str:
     def walk(nodes: list, path: str, inside: bool) -> None:
         for x in nodes:
             if isinstance(x, str):
-                if inside and (not template or template.get(f"{path}/#") != WHITE.sub(" ", x).strip(" ")):
+                if inside and (not template or template.get(f"{path}/#") != text_key(x)):
                     blocks[-1].append(x)
                 continue
             tag = x[0].split(".", 1)[0]
@@ -312,7 +357,7 @@ def host_wrappers(pages: DataFrame) -> DataFrame:
         known: dict[str, list] = {}
         for b in batches:
             for host, html in zip(b.column("host").to_pylist(), b.column("html").to_pylist(), strict=True):
-                one = skeleton(page_tree(html or ""))
+                one = page_wrapper(html)
                 state = known.get(host)
                 known[host] = [aligned(state[0], one), state[1] + 1] if state else [one, 1]
                 if len(known) > 2000:

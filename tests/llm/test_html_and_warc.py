@@ -138,3 +138,12 @@ def test_pages_of_another_template_keep_their_text(spark):
     for url in ("http://x.org/{0}", None, "/rel/{0}"):
         pages = [(url and url.format(i), t.format(i)) for i, t in enumerate([a, b, c, a, b, c])]
         assert texts_of(spark, pages) == ["one 0", "two 1", "three 2", "one 3", "two 4", "three 5"]
+
+
+def test_only_what_all_articles_share_is_the_templates(spark):
+    page = "<body><main>{2}<p>text {0} <strong>Note:</strong> of {1}</p>" + "<div class='by'>{3}</div></main></body>"
+    quote, line = "<blockquote>a passage</blockquote>", "Published with the press. " + "All of this stands under every article. " * 9
+    copies = [page.format("same", "one", quote, line)] * 8
+    others = [page.format(f"w{i}", f"v{i}", "", line) for i in range(8)]
+    got = texts_of(spark, [(f"http://x.org/{i}", h) for i, h in enumerate(copies + others)])
+    assert got == ["a passage\ntext same Note: of one"] * 8 + [f"text w{i} Note: of v{i}" for i in range(8)]
