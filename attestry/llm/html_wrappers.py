@@ -12,6 +12,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 from html import unescape
@@ -40,7 +41,7 @@ MAIN_WORDS = frozenset("article articlebody main content post entry story mainco
 
 #: Children of one wrapper node; a longer list becomes one repeated group of optional parts.
 MAX_PARTS = 48
-#: Elements nested deeper are treated as if they were not there; their text stays.
+#: Elements nested deeper are open as any, but their text counts as that of the last one above; furniture goes.
 MAX_DEPTH = 120
 #: On how many articles a text has to stand, always the same, to be the template's own; headings never are.
 TEMPLATE_PAGES = 5
@@ -68,7 +69,7 @@ def signature(tag: str, attributes: str) -> str:
 def page_tree(html: str) -> list:
     """[signature, children] of a page; a text is a str. Balanced: implied ends are filled in, stray ends ignored."""
     root: list = ["", []]
-    stack, at, deep = [root], 0, 0
+    stack, at, opened = [root], 0, Counter()
     while m := TOKEN.match(html, at):
         at = m.end()
         text = m[7]
@@ -80,10 +81,10 @@ def page_tree(html: str) -> list:
             continue
         tag, closing = tag.lower(), m[1] or m[4]
         if closing:
-            for k in range(len(stack) - 1, 0, -1):
+            for k in range(len(stack) - 1, 0, -1) if opened[tag] else ():
                 name = stack[k][0].split(".", 1)[0]
                 if name == tag:
-                    del stack[k:]
+                    end_from(stack, k, opened)
                     break
                 if name in FENCE and tag not in BLOCK:
                     break
@@ -93,24 +94,42 @@ def page_tree(html: str) -> list:
             at = end.end() if end else len(html)
             continue
         if tag in BLOCK and tag not in ("html", "body"):
-            close_open(stack, ("p",))
+            close_open(stack, ("p",), opened)
         if tag in CLOSES:
-            close_open(stack, CLOSES[tag])
+            close_open(stack, CLOSES[tag], opened)
         if tag == "br" or tag in VOID:
             stack[-1][1].append([tag, []])
-        elif len(stack) < MAX_DEPTH:
+        else:
             node: list = [signature(tag, m[3] if m[3] is not None else m[6] or ""), []]
-            stack[-1][1].append(node)
+            if len(stack) < MAX_DEPTH:
+                stack[-1][1].append(node)
+            elif tag not in FURNITURE_TAGS and FURNITURE_WORDS.isdisjoint(node[0].split(".")[1:]):
+                node[1] = stack[-1][1]
+                if tag in BLOCK:
+                    node[1].append(["br", []])
             stack.append(node)
+            opened[tag] += 1
     return root
 
 
-def close_open(stack: list, names: tuple[str, ...]) -> None:
+def end_from(stack: list, k: int, opened: Counter) -> None:
+    """Ends the open elements from the k-th on."""
+    for n in range(k, len(stack)):
+        name = stack[n][0].split(".", 1)[0]
+        opened[name] -= 1
+        if n >= MAX_DEPTH and name in BLOCK and stack[n][1] is stack[MAX_DEPTH - 1][1]:
+            stack[n][1].append(["br", []])
+    del stack[k:]
+
+
+def close_open(stack: list, names: tuple[str, ...], opened: Counter) -> None:
     """Ends the open element of one of these names, with all in it, unless a list, table or section is in between."""
+    if not any(opened[n] for n in names):
+        return
     for k in range(len(stack) - 1, 0, -1):
         name = stack[k][0].split(".", 1)[0]
         if name in names:
-            del stack[k:]
+            end_from(stack, k, opened)
             return
         if name in FENCE or name == "div" and names == ("li",):
             return

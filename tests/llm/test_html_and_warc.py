@@ -147,3 +147,11 @@ def test_only_what_all_articles_share_is_the_templates(spark):
     others = [page.format(f"w{i}", f"v{i}", "", line) for i in range(8)]
     got = texts_of(spark, [(f"http://x.org/{i}", h) for i, h in enumerate(copies + others)])
     assert got == ["a passage\ntext same Note: of one"] * 8 + [f"text w{i} Note: of v{i}" for i in range(8)]
+
+
+def test_text_and_furniture_after_and_in_a_deep_nest():
+    deep = "<div>" * 130 + "<p>x</p><p>y</p><nav>menu</nav>" + "</div>" * 130
+    page = f"<body><div><article>{deep}<p>after</p></article></div></body>"
+    assert alone(page).split() == ["x", "y", "after"]
+    left_open = "<font><b>" * 100
+    assert alone(f"<body><article><p>one</p>{left_open}two<nav>menu</nav><div class='comments'>said</div> three").split() == ["one", "two", "three"]
