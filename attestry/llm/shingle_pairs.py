@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, written
+from .common import map_batches, small, written
 from .simhash import components
 
 SHINGLE_WORDS = 5
@@ -46,7 +46,10 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs(u, v) whose sets are alike."""
+    """The pairs(u, v) whose sets are alike. sets may repeat a node; those of no pair are not moved."""
+    pairs = written(pairs, "candidates")
+    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
+    sets = sets.join(small(asked), "node", "left_semi").dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -89,12 +92,21 @@ def alike_in_size() -> F.Column:
     return (OF * F.least("n", "m") >= LIKE * F.greatest("n", "m")) & (F.col("u") != F.col("v"))
 
 
+def enough(shared: DataFrame) -> DataFrame:
+    """(u, v) of the pairs that share enough of their prefixes, given a row for each shared shingle.
+
+    Beyond the shared part of the prefixes at most ceil(0.8 n) - 1 shingles of one of the two are common.
+    """
+    counted = shared.groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("c"))
+    return counted.where((LIKE + OF) * (F.col("c") + F.ceil(F.greatest("n", "m") * LIKE / OF) - 1) >= LIKE * (F.col("n") + F.col("m"))).select("u", "v")
+
+
 def near_groups(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, component_id), one row for each row.
 
     Texts with equal words (ASCII case aside) or a Jaccard similarity of 0.8 or more of their shingles are linked;
     component_id is the smallest doc_id that a document reaches over links. Each bucket of texts that share a shingle is
-    first compared with one of them, so that a group of copies costs a row for each; then all pairs that are not yet in
+    first compared with one of them if they share enough there, so that a group of copies costs a row for each; then all pairs that are not yet in
     one group are. Nulls: a null text has no words, as an empty one; a null doc_id is a component's only without others.
     """
 
@@ -105,21 +117,18 @@ def near_groups(documents: DataFrame) -> DataFrame:
 
     rows = written(map_batches(documents.select("doc_id", "text"), each, "doc_id long, node long, hashes array<long>"), "shingles")
     nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
-    sets = written(rows.select("node", "hashes").dropDuplicates(["node"]), "sets")
-    held = prefixes(sets)
-    held = written(held, "prefixes")
+    sets = rows.select("node", "hashes")
+    held = prefixes(sets).repartition("h")  # one shuffle for both uses
     shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("z")).where("p.node <> z").select("h", F.col("p.node").alias("v"), F.col("p.n").alias("m"))
-    buckets = written(held.join(shared, "h"), "buckets")
-    pairs = buckets.select(F.col("node").alias("u"), "v", "n", "m").where(alike_in_size()).select("u", "v").distinct()
+    buckets = written(held.join(shared, "h").distinct(), "buckets")
+    pairs = enough(buckets.select(F.col("node").alias("u"), "v", "n", "m").where(alike_in_size()))
     edges = written(verified(pairs, sets), "pairs")
     rooted = buckets.select("h", "node", "n").join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h")
     left = written(rooted.join(split, "h"), "left")
     one, two = left.select("h", F.col("node").alias("u"), "n", F.col("root").alias("r")), left.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
-    rest = one.join(two, "h").where((F.col("r") != F.col("s")) & (F.col("u") < F.col("v")) & alike_in_size()).groupBy("u", "v", "n", "m").agg(F.count(F.lit(1)).alias("c"))
-    # beyond the shared part of the prefixes at most ceil(0.8 n) - 1 shingles of one of the two are common
-    rest = rest.where((LIKE + OF) * (F.col("c") + F.ceil(F.greatest("n", "m") * LIKE / OF) - 1) >= LIKE * (F.col("n") + F.col("m"))).select("u", "v")
-    edges = edges.unionByName(verified(rest, sets))
+    rest = one.join(two, "h").where((F.col("r") != F.col("s")) & (F.col("u") < F.col("v")) & alike_in_size())
+    edges = edges.unionByName(verified(enough(rest), sets))
     named = nodes.join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
