@@ -13,8 +13,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: A side is broadcast only if it was counted and has no more rows than this.
+#: A side is broadcast only if it was counted and has no more rows and bytes than these.
 BROADCAST_ROWS = 20_000
+BROADCAST_BYTES = 32 << 20
 #: Rows in one Arrow batch of an operator that handles whole texts.
 TEXT_BATCH_ROWS = 512
 #: The six ASCII white-space bytes, which separate words; bytes.split() uses the same.
@@ -57,9 +58,15 @@ def text_batches(spark: SparkSession) -> None:
         spark.conf.set(key, str(TEXT_BATCH_ROWS))
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df marked for broadcast if a count proves it small, else as it is, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
+    """Whether df has no more rows and bytes (written as JSON) than these; at most one row more is read of each partition."""
+    n, held = df.limit(rows + 1).agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length(F.to_json(F.struct(*df.columns)))), F.lit(0))).first()
+    return n <= rows and held <= size
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df marked for broadcast if its rows and bytes are counted and prove it small, else as it is, for a shuffled join."""
+    return F.broadcast(df) if fits_broadcast(df) else df
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
