@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_batches, shuffle_partitions, small, written
@@ -30,83 +30,97 @@ def canonical_url(url: Column) -> Column:
 
 
 def last_before(rows: DataFrame, by: str, order: list, value: str, name: str) -> DataFrame:
-    """Adds `last`: the latest non-null `value` of the rows that precede a row in `order` within its `by`.
+    """Replaces `value` by the latest non-null `value` of the rows that precede a row in `order` within its `by` (no nulls).
 
-    Rows are dealt out by range of (by, order), so that a hot key fills many tasks. Each task carries the value forward
-    in its run; one row for each task then says what the next tasks start with.
+    Rows are dealt out by range of (by, order), so that a hot key fills many tasks. Each task carries the value itself
+    forward, so that nothing is joined on it, and adds a row that says with which keys it begins and ends and what it
+    ends with; from these, one for each task, the next tasks' first keys get what came before.
     """
     ranged = rows.repartitionByRange(shuffle_partitions(rows.sparkSession), by, *order).sortWithinPartitions(by, *order).withColumn("__pid", F.spark_partition_id())
 
     def carry(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, first, started = None, -1, True, False
+        key, held, head, opening, pid, schema = None, None, None, True, None, None
         for b in batches:
             if not b.num_rows:
                 continue
+            schema, n, values = b.schema, b.num_rows, b.column(value)
+            pid = b.column("__pid")[0].as_py()
             runs = b.column(by).dictionary_encode()
             codes = runs.indices.to_numpy(zero_copy_only=False)
-            values = b.column(value).fill_null(-1).to_numpy(zero_copy_only=False)
             start = np.r_[True, codes[1:] != codes[:-1]]
-            same = runs.dictionary[int(codes[0])].as_py() == key
-            # before each row: the position of the last value in its run, or -1
-            at = np.where(values >= 0, np.arange(len(values)), -1)
-            run_start = np.maximum.accumulate(np.where(start, np.arange(len(values)), 0))
-            seen = np.maximum.accumulate(np.r_[-1, at[:-1]])
-            last = np.where(seen >= run_start, values[seen], -1)
-            ends = np.flatnonzero(start)[1] if start.sum() > 1 else len(values)
-            if same:
-                last[:ends] = np.where(last[:ends] >= 0, last[:ends], held)
-            opening = np.zeros(len(values), bool)  # rows of the task's first run
-            first = first and (same or not started)
-            if first:
-                opening[:ends] = True
-                first = start.sum() == 1
-            started = True
-            tail = values[run_start[-1] :]
-            tail = tail[tail >= 0]
-            held = int(tail[-1]) if len(tail) else held if same and start.sum() == 1 else -1
+            ends = np.flatnonzero(start)[1] if start.sum() > 1 else n
+            first = runs.dictionary[int(codes[0])].as_py()
+            head = first if head is None else head
+            same = first == key
+            # before each row: the position of the last value in its run, n for the one held from earlier batches, or none
+            at = np.where(values.is_valid().to_numpy(zero_copy_only=False), np.arange(n), -1)
+            seen = np.maximum.accumulate(np.r_[-1, at])
+            run_start = np.maximum.accumulate(np.where(start, np.arange(n), 0))
+            last = np.where(seen[:-1] >= run_start, seen[:-1], -1)
+            if same and held is not None:
+                last[:ends] = np.where(last[:ends] >= 0, last[:ends], n)
+            pool = pa.concat_arrays([values, pa.array([held], values.type)])
+            carried = pool.take(pa.array(last, pa.int64(), mask=last < 0))
+            opens = np.zeros(n, bool)
+            if opening:
+                opens[:ends] = first == head
+            opening = opening and start.sum() == 1 and first == head
+            if seen[-1] >= run_start[-1]:
+                held = values[int(seen[-1])].as_py()
+            elif not (same and start.sum() == 1):
+                held = None
             key = runs.dictionary[int(codes[-1])].as_py()
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.where(last >= 0, last, 0), pa.int64(), mask=last < 0), pa.array(opening)], names=[*b.schema.names, "__local", "__opening"])
+            yield pa.RecordBatch.from_arrays([*[carried if c == value else b.column(c) for c in schema.names], pa.array(opens), pa.nulls(n, pa.string()), pa.nulls(n, pa.string())], names=[*schema.names, "__opens", "__head", "__tail"])
+        if schema is not None:
+            told = {"__pid": pid, value: held}
+            yield pa.RecordBatch.from_arrays([*[pa.array([told.get(f.name)], f.type) for f in schema], pa.array([False]), pa.array([head]), pa.array([key])], names=[*schema.names, "__opens", "__head", "__tail"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    table = written(map_batches(ranged, carry, f"{fields}, __local long, __opening boolean"), name)
-    edge = table.groupBy(F.col("__pid").alias("__from")).agg(F.max(by).alias("__tail"))
-    tails = table.where(F.col(value).isNotNull()).join(small(edge), (F.col("__pid") == F.col("__from")) & (F.col(by) == F.col("__tail"))).groupBy("__from", "__tail").agg(F.max_by(value, F.struct(*order)).alias("__value"))
-    heads = table.where("__opening").groupBy("__pid").agg(F.min(by).alias("__head"))
-    starts = heads.join(small(tails), (F.col("__head") == F.col("__tail")) & (F.col("__from") < F.col("__pid"))).groupBy("__pid").agg(F.max_by("__value", "__from").alias("__carried"))
-    return table.join(small(starts), "__pid", "left").withColumn("last", F.coalesce("__local", F.when(F.col("__opening"), F.col("__carried")))).drop("__pid", "__local", "__opening", "__carried")
+    table = written(map_batches(ranged, carry, f"{fields}, __opens boolean, __head string, __tail string"), name)
+    none = F.lit(None).cast(rows.schema[value].dataType)
+    ends = table.where("__head is not null").select("__pid", F.explode(F.array(F.struct(F.col("__head").alias("key"), F.lit(0).alias("kind"), none.alias("held")), F.struct(F.col("__tail").alias("key"), F.lit(1).alias("kind"), F.col(value).alias("held")))).alias("e")).select("__pid", "e.*")
+    earlier = Window.partitionBy("key").orderBy("__pid", "kind").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ends.withColumn("__carried", F.last("held", ignorenulls=True).over(earlier)).where("kind = 0 and __carried is not null").select("__pid", "__carried")
+    back = table.where("__head is null").join(small(starts), "__pid", "left")
+    return back.withColumn(value, F.coalesce(value, F.when(F.col("__opens"), F.col("__carried")))).drop("__pid", "__opens", "__head", "__tail", "__carried")
 
 
 def resolve(records: DataFrame) -> DataFrame:
     """records(record_id, url, type, time, etag, last_modified, headers map) -> every record with canonical_url, source_id, outcome, merged_headers.
 
-    type: `response` (a full one) or `revisit`. A revisit's source is the response with the same canonical URL and the
-    latest time before its own (of equal times the largest id). Outcome: `full` for responses; `resolved` if the entity
-    tags agree (weakly), or, where one has none, the modification times; `unverified` if there is nothing to compare;
-    `mismatch` if they differ; `orphan` without an earlier response. A resolved or unverified revisit has the source's
-    headers, with those that a 304 answer may change taken from itself. Nulls: a record without a URL, time or id is an
-    orphan if it is a revisit and never a source; null headers are none. Equal ids must not occur. An empty table gives
-    no rows. Columns that have the names of results are replaced. Payloads are not moved: join them by source_id.
+    type: `response` (a full one) or `revisit`, which any other type counts as. A revisit's source is the response with
+    the same canonical URL and the latest time before its own (of equal times the largest id; of equal ids one by its
+    validators and headers). Outcome: `full` for responses; `resolved` if the entity tags agree (weakly), or, where one
+    has none, the modification times; `unverified` if there is nothing to compare; `mismatch` if they differ; `orphan`
+    without an earlier response. A resolved or unverified revisit has the source's headers, with those that a 304 answer
+    may change taken from itself. Nulls: a record without a URL, time or id is an orphan if it is a revisit and never a
+    source; null headers are none. There is a row for each row, also of equal ids and equal rows; an empty table gives no
+    rows. Columns that have the names of results are replaced. All columns are moved once: leave payloads out and join
+    them by source_id.
     """
     records = records.drop("canonical_url", "source_id", "outcome", "merged_headers")
-    keyed = records.withColumn("canonical_url", canonical_url(F.col("url")))
+    columns = records.columns
+    full = F.coalesce(F.col("type") == "response", F.lit(False))
+    source = F.struct(F.col("record_id").alias("id"), F.col("etag").alias("etag"), F.col("last_modified").alias("modified"), F.col("headers").alias("headers"))
+    tie = F.xxhash64("etag", "last_modified", F.array_sort(F.map_entries("headers")))
+    keyed = written(records.withColumns({"canonical_url": canonical_url(F.col("url")), "__full": full.cast("int"), "__tie": tie, "__source": F.when(full, source)}), "captures")
     usable = F.col("canonical_url").isNotNull() & F.col("time").isNotNull() & F.col("record_id").isNotNull()
-    slim = keyed.where(usable).select("canonical_url", "time", (F.col("type") == "response").cast("int").alias("full"), "record_id", F.when(F.col("type") == "response", F.col("record_id")).alias("source"))
     # at one time revisits come first, so that what stands before a row is earlier than it
-    placed = last_before(slim, "canonical_url", ["time", "full", "record_id"], "source", "revisits").where("full = 0").select("record_id", F.col("last").alias("source_id"))
-    sources = records.where("type = 'response'").select(F.col("record_id").alias("source_id"), F.col("etag").alias("s_etag"), F.col("last_modified").alias("s_modified"), F.col("headers").alias("s_headers"))
-    out = keyed.join(placed, "record_id", "left").join(sources, "source_id", "left")
+    placed = last_before(keyed.where(usable), "canonical_url", ["time", "__full", "record_id", "__tie"], "__source", "revisits")
+    none = F.lit(None).cast(keyed.schema["__source"].dataType)
+    out = placed.unionByName(keyed.where(~usable).withColumn("__source", none)).withColumn("__source", F.when(F.col("__full") == 0, F.col("__source")))
 
     def strong(tag: str) -> Column:
         return F.regexp_replace(F.col(tag), "^W/", "")
 
-    agree = F.coalesce(strong("etag") == strong("s_etag"), F.col("last_modified") == F.col("s_modified"))
-    outcome = F.when(F.col("type") == "response", "full").when(F.col("source_id").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
-    none = F.create_map().cast("map<string,string>")
-    own, theirs = F.coalesce("headers", none), F.coalesce("s_headers", none)
+    agree = F.coalesce(strong("etag") == strong("__source.etag"), F.col("last_modified") == F.col("__source.modified"))
+    outcome = F.when(F.col("__full") == 1, "full").when(F.col("__source").isNull(), "orphan").when(agree.isNull(), "unverified").when(agree, "resolved").otherwise("mismatch")
+    no_headers = F.create_map().cast("map<string,string>")
+    own, theirs = F.coalesce("headers", no_headers), F.coalesce("__source.headers", no_headers)
     fresh = F.map_filter(own, lambda k, _: F.lower(k).isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, _: ~F.array_contains(F.transform(F.map_keys(fresh), lambda x: F.lower(x)), F.lower(k))), fresh)
-    out = out.withColumn("outcome", outcome)
-    return out.withColumn("merged_headers", F.when(F.col("outcome").isin("resolved", "unverified"), merged).when(F.col("outcome") == "full", own)).drop("s_etag", "s_modified", "s_headers")
+    out = out.withColumn("source_id", F.col("__source.id")).withColumn("outcome", outcome)
+    return out.withColumn("merged_headers", F.when(F.col("outcome").isin("resolved", "unverified"), merged).when(F.col("outcome") == "full", own)).select(*columns, "canonical_url", "source_id", "outcome", "merged_headers")
 
 
 def captures(pages: DataFrame) -> DataFrame:
@@ -115,10 +129,11 @@ def captures(pages: DataFrame) -> DataFrame:
     time = F.col("page_id") * 60
     tag = F.md5(F.coalesce("html", F.lit("")))
     length = F.length(F.coalesce("html", F.lit(""))).cast("string")
-    full = pages.select((F.col("page_id") * 2).alias("record_id"), "url", F.lit("response").alias("type"), time.alias("time"), tag.alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), length, F.lit("date"), time.cast("string"), F.lit("etag"), tag).alias("headers"))
     later = time + F.conv(F.substring(F.md5(F.coalesce("url", F.lit(""))), 1, 7), 16, 10).cast("long") % 600_000 - 60_000
-    again = pages.select((F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.lit("revisit").alias("type"), later.alias("time"), F.concat(F.lit("W/"), tag).alias("etag"), F.lit(None).cast("string").alias("last_modified"), F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"), F.lit("etag"), tag).alias("headers"))
-    return full.unionByName(again)
+    none = F.lit(None).cast("string").alias("last_modified")
+    full = F.struct((F.col("page_id") * 2).alias("record_id"), F.col("url"), F.lit("response").alias("type"), time.alias("time"), F.col("tag").alias("etag"), none, F.create_map(F.lit("content-type"), F.lit("text/html"), F.lit("content-length"), F.col("length"), F.lit("date"), time.cast("string"), F.lit("etag"), F.col("tag")).alias("headers"))
+    again = F.struct((F.col("page_id") * 2 + 1).alias("record_id"), F.concat("url", F.lit("#again")).alias("url"), F.lit("revisit").alias("type"), later.alias("time"), F.concat(F.lit("W/"), "tag").alias("etag"), none, F.create_map(F.lit("content-length"), F.lit("0"), F.lit("date"), later.cast("string"), F.lit("etag"), F.col("tag")).alias("headers"))
+    return pages.select("page_id", "url", tag.alias("tag"), length.alias("length")).select(F.explode(F.array(full, again)).alias("x")).select("x.*")
 
 
 def resolved_captures(pages: DataFrame) -> DataFrame:

@@ -209,6 +209,33 @@ def test_a_hot_url_over_many_tasks(spark):
             assert got[i] == last
 
 
+def brute(rows):
+    """A row for each row: (record_id, source_id), by looking at all responses."""
+    out = []
+    for i, url, kind, time, etag, *_ in rows:
+        if kind == "response" or None in (i, url, time):
+            out.append((i, None))
+        else:
+            before = [(r[3], r[0], r[4]) for r in rows if r[2] == "response" and r[1] == url and None not in (r[0], r[3]) and r[3] < time]
+            out.append((i, max(before)[1] if before else None))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_repeated_ids_rows_and_nulls_against_brute_force(spark, seed):
+    rng = random.Random(seed)
+    some = lambda x, p=0.1: None if rng.random() < p else x
+    rows = [(some(i // 2), some(rng.choice(["h.example", "h.example", f"e.com/{i % 9}"]), 0.4), rng.choice(["response", "revisit", "revisit", "revisit"]), some(rng.randint(0, 300)), f"t{i // 2}", None, {"a": str(i)}) for i in range(800)]
+    rows += rows[:40] * 3
+    df = spark.createDataFrame([(*x, "old") for x in rows], RECORD).repartition(5)
+    assert sorted([(x.record_id, x.source_id) for x in warc.resolve(df).collect()], key=str) == brute(rows)
+
+
+def test_a_repeated_page_gives_a_row_for_each(spark):
+    pages = [(i, f"http://e.com/{i}", "x") for i in (1, 2, 3, 3)]
+    assert warc.resolved_captures(spark.createDataFrame(pages, "page_id long, url string, html string")).count() == 8
+
+
 def test_captures_equal_sql(spark):
     import duckdb
 
