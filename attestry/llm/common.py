@@ -10,7 +10,7 @@ from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: A side is broadcast only if it was counted and has no more rows and bytes than these.
@@ -78,49 +78,47 @@ def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterab
     return df.mapInArrow(each, schema)
 
 
-def running_totals(df: DataFrame, order: list, weight: str, by: str | None = None, name: str = "ranged") -> DataFrame:
-    """Adds `before`: the sum of `weight` over all rows that precede this one in `order` (within its `by`).
+def running_totals(df: DataFrame, order: list, weight: str, by: str | None = None, name: str = "ranged", **more: str) -> DataFrame:
+    """Adds `before`: the sum of `weight` over all rows that precede this one in `order` (within its `by`); more: further result=weight.
 
     Rows are dealt out by range of `order`, so that equal leading keys spread over as many tasks as they fill; each task
     sums its own run while it is written, and only one total for each task and `by` is added up afterwards. `by` must be
     a string without nulls and lead the order. No task holds more than one batch.
     """
-    spark = df.sparkSession
-    ranged = df.withColumn("__w", F.col(weight).cast("long")).repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order)
-    ranged = ranged.withColumn("__pid", F.spark_partition_id())
+    spark, sums = df.sparkSession, {"before": weight, **more}
+    weighed = df.withColumns({f"__w{k}": F.col(w).cast("long") for k, w in enumerate(sums.values())})
+    ranged = weighed.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order).withColumn("__pid", F.spark_partition_id())
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, last = 0, None
+        carry, last = [0] * len(sums), None
         for b in batches:
             if not b.num_rows:
                 continue
-            w = b.column("__w").to_numpy(zero_copy_only=False).astype(np.int64)
-            total = np.cumsum(w)
-            before = total - w
-            if by is None:
-                local = before + carry
-                carry += int(total[-1])
-            else:
+            n, first_end = b.num_rows, b.num_rows
+            starts, same, ending = np.zeros(1, np.int64), True, None
+            if by is not None:
                 runs = b.column(by).dictionary_encode()
                 codes = runs.indices.to_numpy(zero_copy_only=False)
                 starts = np.flatnonzero(np.r_[True, codes[1:] != codes[:-1]])
-                base = np.repeat(before[starts], np.diff(np.r_[starts, len(w)]))
-                local = before - base
-                values = runs.dictionary
-                if values[codes[0]].as_py() == last:
-                    first_end = starts[1] if len(starts) > 1 else len(w)
-                    local[:first_end] += carry
-                carry = int(local[-1] + w[-1])
-                last = values[codes[-1]].as_py()
-            arrays = [c for c, f in zip(b.columns, b.schema, strict=True)] + [pa.array(local, pa.int64())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "__local"])
+                first_end = starts[1] if len(starts) > 1 else n
+                same, ending = runs.dictionary[int(codes[0])].as_py() == last, runs.dictionary[int(codes[-1])].as_py()
+            added = []
+            for k in range(len(sums)):
+                w = b.column(f"__w{k}").to_numpy(zero_copy_only=False).astype(np.int64)
+                local = np.cumsum(w) - w
+                local -= np.repeat(local[starts], np.diff(np.r_[starts, n]))
+                if same:
+                    local[:first_end] += carry[k]
+                carry[k] = int(local[-1] + w[-1])
+                added.append(pa.array(local, pa.int64()))
+            last = ending
+            yield pa.RecordBatch.from_arrays([*b.columns, *added], names=[*b.schema.names, *[f"__l{k}" for k in range(len(sums))]])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in ranged.schema.fields)
-    table = written(ranged.mapInArrow(add, f"{fields}, __local long"), name)
+    table = written(ranged.mapInArrow(add, f"{fields}, " + ", ".join(f"__l{k} long" for k in range(len(sums)))), name)
     keys = ["__pid"] + ([by] if by else [])
-    totals = table.groupBy(*keys).agg(F.sum("__w").alias("__sum"))
-    from pyspark.sql import Window
-
+    totals = table.groupBy(*keys).agg(*[F.sum(f"__w{k}").alias(f"__s{k}") for k in range(len(sums))])
     w = (Window.partitionBy(by) if by else Window.partitionBy(F.lit(0))).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, F.coalesce(F.sum("__sum").over(w), F.lit(0)).alias("__off"))
-    return table.join(small(offsets), keys).withColumn("before", F.col("__local") + F.col("__off")).drop("__w", "__pid", "__local", "__off")
+    offsets = totals.select(*keys, *[F.coalesce(F.sum(f"__s{k}").over(w), F.lit(0)).alias(f"__o{k}") for k in range(len(sums))])
+    found = table.join(small(offsets), keys).withColumns({x: F.col(f"__l{k}") + F.col(f"__o{k}") for k, x in enumerate(sums)})
+    return found.drop("__pid", *[f"__{x}{k}" for x in "wlo" for k in range(len(sums))])

@@ -23,24 +23,39 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     """sizes(src, source_size) -> (src, source_size, target): shares by weight of the sum of all sizes.
 
     A target above max_epochs times its source stops there; the excess goes to the others by weight, until none is
-    above. Only one row for each source is handled; each round is one sum over them and at least one source more stops.
+    above. Sources stop in the order of that bound for each unit of weight, so the sums of bounds and weights before a
+    source in this order say whether it stops: two prefix sums over a row for each source, however many there are.
     """
     ranked = running_totals(sizes.withColumn("one", F.lit(1)), ["src"], "one", name="sources")
     shares = F.array(*[F.lit(w) for w in weights])
-    ranked = written(ranked.select("src", "source_size", F.element_at(shares, (F.col("before") % len(weights) + 1).cast("int")).cast("long").alias("weight"), (F.col("source_size") * max_epochs).alias("most")), "weights")
-    total = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0))).first()[0]
-    stopped = F.lit(False)
-    rest, left, capped = total, 0, -1
-    while True:
-        row = ranked.agg(F.count_if(stopped), F.coalesce(F.sum(F.when(stopped, F.col("most"))), F.lit(0)), F.coalesce(F.sum(F.when(~stopped, F.col("weight"))), F.lit(0))).first()
-        if row[0] == capped:
-            break
-        capped, rest, left = row[0], total - row[1], row[2]
-        if not left:
-            break
-        stopped = F.col("most") * F.lit(left) <= F.col("weight") * F.lit(rest)
-    target = F.col("most").cast("double") if not left else F.when(stopped, F.col("most").cast("double")).otherwise(F.col("weight") * F.lit(float(rest)) / F.lit(float(left)))
-    return ranked.select("src", "source_size", target.alias("target"))
+    ranked = ranked.select("src", "source_size", F.element_at(shares, (F.col("before") % len(weights) + 1).cast("int")).cast("long").alias("weight"), (F.col("source_size") * max_epochs).alias("most"))
+    placed = running_totals(ranked.withColumn("ratio", F.col("most") / F.col("weight")), ["ratio", "src"], "most", name="stops", weight_before="weight").withColumnRenamed("before", "most_before")
+    total, all_weights = placed.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    exact = lambda c: c.cast("decimal(19,0)")
+    stops = exact(F.col("most")) * exact(F.lit(all_weights) - F.col("weight_before")) <= exact(F.col("weight")) * exact(F.lit(total) - F.col("most_before"))
+    placed = placed.withColumn("stops", stops)
+    given, gone = placed.where("stops").agg(F.coalesce(F.sum("most"), F.lit(0)), F.coalesce(F.sum("weight"), F.lit(0))).first()
+    rest, left = total - given, all_weights - gone
+    shared = F.col("weight") * F.lit(float(rest)) / F.lit(float(left or 1))
+    return placed.select("src", "source_size", F.when(F.col("stops"), F.col("most").cast("double")).otherwise(shared).alias("target"))
+
+
+def source_key() -> Column:
+    """Sources in order, null last, as a string without nulls."""
+    return F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
+
+
+def random_key(seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
+
+
+def placed_in_sources(rows: DataFrame, ties: list[str], weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """rows(src, key, doc_id, size, ...) with before, source_size, target, whole (epochs) and rest (words of the last, partial epoch)."""
+    placed = running_totals(rows, ["src", "key", "doc_id", "size", *ties], "size", by="src", name="mix")
+    targets = source_targets(placed.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_epochs)
+    whole = F.when(F.col("source_size") > 0, F.expr("cast(round(target) as long) div source_size")).otherwise(F.lit(0))
+    targets = targets.withColumn("whole", whole).withColumn("rest", F.round("target").cast("long") - F.col("whole") * F.col("source_size"))
+    return placed.join(small(targets), "src")
 
 
 def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
@@ -52,33 +67,36 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: in
     own hash. Equal rows and ids stay separate rows; an empty table gives none. Further columns of documents are
     ignored.
     """
-    src = F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.concat(F.lit("0"), F.col("source")))
-    rows = documents.select("doc_id", "source", src.alias("src"), words(F.col("text")).alias("size"))
-    rows = rows.withColumn("key", F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null")))))
-    placed = running_totals(rows, ["src", "key", "doc_id", "size"], "size", by="src", name="mix")
-    targets = source_targets(placed.groupBy("src").agg(F.sum("size").alias("source_size")), weights, max_epochs)
-    budget = F.round("target").cast("long")
-    whole = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("budget") - F.col("whole") * F.col("source_size") - F.col("before")))
-    return placed.join(small(targets), "src").withColumn("budget", budget).withColumn("whole", whole).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
+    rows = written(documents.select("doc_id", "source", source_key().alias("src"), words(F.col("text")).alias("size"), random_key(seed).alias("key")), "sizes")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("before")))
+    return placed_in_sources(rows, [], weights, max_epochs).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + part).cast("long").alias("taken"))
 
 
-def mixed_documents(documents: DataFrame, **options) -> DataFrame:
+def mixed_documents(documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: int = SEED) -> DataFrame:
     """The mix itself, with the columns of documents: a row for each time that a document is taken.
 
-    Of the one document at which a source's budget ends, the last copy has only the words that fit. Documents without
-    words are never taken. Rows whose doc_id is null or not unique share one decision among their equals.
+    Each source gives exactly its budget of words: of the one document at which it ends, the last copy has only the words
+    that fit. Documents without words are never taken. Nulls as in mix(); rows with null, equal or repeated ids are
+    decided one by one, and an empty table gives no rows. Texts are not shuffled: in the order of mix() (equal keys by
+    text, then by a row number) each source ends at one row, and every row is compared with it.
     """
-    decided = mix(documents, **options).where("taken > 0").select(F.col("doc_id").alias("__id"), F.col("source").alias("__source"), F.col("size").alias("__size"), F.col("taken").alias("__taken"))
-    decided = decided.groupBy("__id", "__source", "__size").agg(F.max("__taken").alias("__taken"))
-    joined = documents.withColumn("__words", words(F.col("text"))).join(decided, F.col("doc_id").eqNullSafe(F.col("__id")) & F.col("source").eqNullSafe(F.col("__source")) & (F.col("__words") == F.col("__size")))
-    copies = joined.withColumn("__copy", F.explode(F.expr("sequence(0L, (__taken - 1) div __size)")))
+    keyed = documents.withColumns({"__src": source_key(), "__size": words(F.col("text")), "__key": random_key(seed), "__hash": F.xxhash64("text"), "__row": F.monotonically_increasing_id()})
+    rows = written(keyed.where("__size > 0"), "sized")
+    slim = rows.select("doc_id", *[F.col(f"__{c}").alias(c) for c in ("src", "size", "key", "hash", "row")])
+    place = F.struct("key", "doc_id", "size", "hash", "row")
+    placed = placed_in_sources(slim, ["hash", "row"], weights, max_epochs)
+    end = F.max(F.when(F.col("before") < F.col("rest"), F.struct(place.alias("place"), (F.col("rest") - F.col("before")).alias("words"))))
+    ends = placed.groupBy("src", "whole", "rest").agg(end.alias("__end")).select(F.col("src").alias("__of"), F.col("whole").alias("__whole"), "__end")
+    joined = rows.join(small(ends), F.col("__src") == F.col("__of"))
+    own = F.struct(F.col("__key").alias("key"), F.col("doc_id").alias("doc_id"), F.col("__size").alias("size"), F.col("__hash").alias("hash"), F.col("__row").alias("row"))
+    part = F.when(F.col("__end").isNull() | (own > F.col("__end.place")), F.lit(0)).when(own == F.col("__end.place"), F.least(F.col("__size"), F.col("__end.words"))).otherwise(F.col("__size"))
+    taken = joined.withColumn("__taken", (F.col("__whole") * F.col("__size") + part).cast("long")).where("__taken > 0")
+    copies = taken.withColumn("__copy", F.explode(F.expr("sequence(0L, (__taken - 1) div __size)")))
     fits = F.expr("least(__size, __taken - __copy * __size)")
     begun = F.array_join(F.slice(F.regexp_extract_all(F.col("text"), F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), fits.cast("int")), "")
-    cut = F.when(fits < F.col("__size"), begun).otherwise(F.col("text"))
-    out = copies.withColumn("text", cut)
+    out = copies.withColumn("__fits", fits).withColumn("text", F.when(F.col("__fits") < F.col("__size"), begun).otherwise(F.col("text")))
     if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.when(fits < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
+        out = out.withColumn("n_chars", F.when(F.col("__fits") < F.col("__size"), F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return out.select(*documents.columns)
 
 

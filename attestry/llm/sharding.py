@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running_totals, small
+from .common import running_totals, shuffle_partitions, small
 
 SHARDS = 16
 #: Bits for each dimension: 32 steps.
@@ -106,6 +106,7 @@ def write_shards(documents: DataFrame, path: str, shards: int = SHARDS, bits: in
     Columns of documents named shard or n_bytes are replaced. As shard_plan() otherwise.
     """
     placed = placed_rows(documents, shards, bits, True)
-    placed.repartitionByRange(shards, "shard", "slot").sortWithinPartitions("shard", "slot").select(*[f"row.`{c}`" for c in documents.columns if c not in ("shard", "n_bytes")], F.col("__size").alias("n_bytes"), "shard").write.partitionBy("shard").parquet(path)
+    tasks = max(shards, shuffle_partitions(documents.sparkSession))  # a shard is as many files as tasks that its rows fill
+    placed.repartitionByRange(tasks, "shard", "slot").sortWithinPartitions("shard", "slot").select(*[f"row.`{c}`" for c in documents.columns if c not in ("shard", "n_bytes")], F.col("__size").alias("n_bytes"), "shard").write.partitionBy("shard").parquet(path)
     back = documents.sparkSession.read.parquet(path)
     return back.groupBy("shard").agg(F.count(F.lit(1)).alias("n_rows"), F.sum("n_bytes").alias("bytes"), *[f(c).alias(f"{c}_{f.__name__}") for c in ("source", "lang", "n_bytes") for f in (F.min, F.max)])

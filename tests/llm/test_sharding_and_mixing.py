@@ -1,9 +1,11 @@
 import hashlib
+import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from attestry.llm import mixing, sharding
 from attestry.llm.common import running_totals
@@ -99,17 +101,55 @@ def test_a_small_source_stops_at_three_times(spark):
     assert {r.target for r in got if r.source == "c"} == {9.0} and sum(r.taken for r in got) == 163
 
 
-def test_mixed_documents_have_what_was_taken(spark, documents, odd):
-    for df in (documents, odd.where("doc_id is not null").dropDuplicates(["doc_id"])):
-        want = Counter()
-        for r in mixing.mix(df).collect():
-            want[r.doc_id] += r.taken
-        got = mixing.mixed_documents(df)
-        assert got.columns == df.columns
-        have = Counter()
-        for r in got.collect():
-            have[r.doc_id] += len(words(r.text))
-        assert +have == +want
+def check_mixed(df):
+    """Each source has the words that mix() takes of it, and no row more than three times its own."""
+    want, have, most = Counter(), Counter(), Counter()
+    for r in mixing.mix(df).collect():
+        want[r.source] += r.taken
+    for r in df.collect():
+        most[(r.doc_id, r.source)] += 3 * len(words(r.text))
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    rows = Counter()
+    for r in got.collect():
+        have[r.source] += len(words(r.text))
+        rows[(r.doc_id, r.source)] += len(words(r.text))
+    assert +have == +want
+    assert all(n <= most[k] for k, n in rows.items())
+    return sum(have.values())
+
+
+def test_mixed_documents_have_what_was_taken(spark, documents, odd, empty):
+    check_mixed(documents)
+    check_mixed(odd)
+    check_mixed(odd.withColumns({c: F.lit(1) for c in ("src", "key", "hash", "whole", "rest", "end")}))
+    assert mixing.mixed_documents(empty).count() == 0
+    nulls = spark.createDataFrame([(None, f"w {i % 2} " * 15, "a") for i in range(20)] + [(1, "x " * 9, "b")] * 4, "doc_id long, text string, source string")
+    assert check_mixed(nulls) == 20 * 30 + 36
+
+
+def test_mixed_documents_equal_mix_row_by_row(spark, documents):
+    want = Counter({r.doc_id: r.taken for r in mixing.mix(documents).collect()})
+    have = Counter()
+    for r in mixing.mixed_documents(documents).collect():
+        have[r.doc_id] += len(words(r.text))
+    assert +have == +want
+
+
+def test_targets_of_many_sources(spark):
+    rng = random.Random(4)
+    sizes = [(f"0s{i:03}", rng.choice([1, 5, 1000, rng.randint(1, 10**6)])) for i in range(300)]
+    got = {r.src: r.target for r in mixing.source_targets(spark.createDataFrame(sizes, "src string, source_size long")).collect()}
+    weight, size = {s: i % 3 + 1 for i, (s, _) in enumerate(sizes)}, dict(sizes)
+    capped, total = set(), sum(size.values())
+    while True:
+        left, rest = sum(weight[s] for s in size if s not in capped), total - sum(3 * size[s] for s in capped)
+        over = {s for s in size if s not in capped and weight[s] * rest >= 3 * size[s] * left}
+        if not over:
+            break
+        capped |= over
+    assert 0 < len(capped) < 300
+    assert all(abs(got[s] - (3 * size[s] if s in capped else weight[s] * rest / left)) < 1e-6 * got[s] for s in size)
 
 
 def test_running_totals_carry_over_tasks(spark):
