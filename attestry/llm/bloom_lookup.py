@@ -24,13 +24,19 @@ ROUNDS = 6
 #: After so many failures the digests are compared as sets.
 LEVELS = 6
 
-PIECE = rf"(?:[^\x20\x09-\x0D]++[\x20\x09\x0B-\x0D]*+){{1,{PIECE_WORDS}}}+"
+#: Rows of one doc_id in a range, beyond which its rows are dealt out to several by the hash of their texts.
+SHARE_ROWS = 10_000
+
+# from the first word to the last one, so that blanks, tabs and carriage returns at the ends don't count
+PIECE = rf"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){{0,{PIECE_WORDS - 1}}}+"
 
 
 def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs that have a word."""
-    pieces = F.regexp_extract_all(text, F.lit(PIECE), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(F.rtrim(p))))
+    """Distinct digests of the paragraphs that have a word; one that comes again counts anew, by how often it came before."""
+    sorted_ = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
+    place = lambda x, i: i - F.array_position(sorted_, x).cast("int") + 1
+    again = F.transform(sorted_, lambda x, i: F.when(place(x, i) > 0, F.xxhash64(x, place(x, i))).otherwise(x))
+    return F.when(F.size(F.array_distinct(sorted_)) < F.size(sorted_), F.array_distinct(again)).otherwise(sorted_)
 
 
 def check(key: Column) -> Column:
@@ -52,12 +58,22 @@ def base_sketch(keys: Column) -> Column:
 
 
 def written_out(sketch: Column) -> Column:
-    """A sketch as hex digits: for each cell 2 of the count, 16 of the digests, 8 of the checksums."""
+    """A sketch as hex digits, nothing cut: for each cell 8 of the count, 16 of the digests, 16 of the checksums."""
+
+    def digits(x: Column, n: int) -> Column:
+        return F.lpad(F.hex(x), n, "0")
+
+    return F.lower(F.array_join(F.transform(sketch, lambda x: F.concat(digits(x["c"].cast("long"), 8), digits(x["k"], 16), digits(x["h"], 16))), ""))
+
+
+def read_sketch(fingerprint: Column) -> Column:
+    """The sketch of a fingerprint string: two strings are enough to peel their difference."""
 
-    def tail(x: Column, n: int) -> Column:
-        return F.right(F.lpad(F.hex(x), n, "0"), F.lit(n))
+    def number(at: Column, n: int) -> Column:
+        high, low = (F.conv(F.substring(fingerprint, at + k, F.lit(n // 2)), 16, 10).cast("long") for k in (0, n // 2))
+        return F.shiftleft(high, n * 2).bitwiseOR(low)
 
-    return F.lower(F.array_join(F.transform(sketch, lambda x: F.concat(tail(x["c"].cast("long"), 2), tail(x["k"], 16), tail(x["h"], 8))), ""))
+    return F.transform(F.sequence(F.lit(0), F.lit(3 * BASE_WIDTH - 1)), lambda i: F.struct(number(i * 40 + 1, 8).cast("int").alias("c"), number(i * 40 + 9, 16).alias("k"), number(i * 40 + 25, 16).alias("h")))
 
 
 def base_difference(a: Column, b: Column) -> Column:
@@ -79,7 +95,9 @@ def base_difference(a: Column, b: Column) -> Column:
     def done(state: Column) -> Column:
         return F.when(F.forall(state["cells"], lambda x: (x["c"] == 0) & (x["k"] == zero) & (x["h"] == zero)), state["found"])
 
-    return F.when(a == b, F.lit(0)).otherwise(F.reduce(F.sequence(F.lit(1), F.lit(BASE_STEPS)), start, step, done))
+    # most pairs are unrelated: without a single cell to begin with, the steps needn't be tried
+    begins = F.exists(cells, lambda x: (F.abs(x["c"]) == 1) & (check(x["k"]) == x["h"]))
+    return F.when(a == b, F.lit(0)).when(begins, F.reduce(F.sequence(F.lit(1), F.lit(BASE_STEPS)), start, step, done))
 
 
 def peeled(pairs: DataFrame, level: int) -> DataFrame:
@@ -135,38 +153,51 @@ def differences(pairs: DataFrame) -> DataFrame:
 
 
 def with_next(documents: DataFrame) -> DataFrame:
-    """(doc_id, text, keys, next_text, next_keys): each row with the one that follows in ascending doc_id; the first follows the last.
+    """(doc_id, text, keys, s, next_text, next_keys, ns): each row, its digests and sketch, and those of the row that follows in ascending doc_id; the first follows the last.
 
-    Rows are dealt out by ranges of doc_id, whose cuts are quantiles of all ids; a copy of each range's first row is
-    also sent to the end of the range before. No join of texts, one shuffle.
+    Rows are dealt out by ranges of doc_id, whose cuts are quantiles of all ids; an id with more than SHARE_ROWS rows, as
+    null may be, is dealt out further by ranges of its texts' hashes. A copy of each range's first row is also sent to
+    the end of the range before. No join of texts, one shuffle.
     """
     spark = documents.sparkSession
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     parts = shuffle_partitions(spark)
     cuts = sorted(set(rows.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)], 100_000)).first()[0] or [])) if parts > 1 else []
     part = F.coalesce(F.size(F.filter(F.lit(cuts) if cuts else F.array().cast("array<long>"), lambda c: c < F.col("doc_id"))), F.lit(0))
-    rows = rows.withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
-    firsts = rows.groupBy("part").agg(F.min("doc_id").alias("doc_id")).orderBy("part").collect()  # a row for each range
+    rows = rows.withColumn("hash", F.xxhash64("text")).withColumn("part", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(part))
+    hot = written(rows.groupBy("doc_id").count().where(F.col("count") > SHARE_ROWS).select(F.col("doc_id").alias("of"), (F.col("count") / SHARE_ROWS).cast("long").alias("shares")), "hot")
+    ids = [r.of for r in hot.where("of is not null").orderBy("of").collect()]  # one for each SHARE_ROWS rows at most
+    # in this order come ids below a hot one, its shares, ids above it
+    share = F.when(F.col("shares").isNull(), -1).otherwise(F.floor((F.col("hash") / 2.0**64 + 0.5) * F.col("shares")))
+    below = F.size(F.filter(F.lit(ids) if ids else F.array().cast("array<long>"), lambda c: c < F.col("doc_id")))
+    rows = rows.join(small(hot), F.col("doc_id").eqNullSafe(F.col("of")), "left").withColumns({"below": F.coalesce(below, F.lit(0)), "share": share.cast("long")}).drop("of", "shares")
+    ranges = ["part", "below", "share"]
+    firsts = rows.groupBy(*ranges).agg(F.min(F.struct("doc_id", "hash")).alias("least")).orderBy(*ranges).collect()  # a row for each range
+    columns = ["doc_id", "text", "keys", "s", "next_text", "next_keys", "ns"]
+    keys = digests(F.col("text"))
     if not firsts:
-        return rows.select("doc_id", "text", digests(F.col("text")).alias("keys"), F.col("text").alias("next_text"), digests(F.col("text")).alias("next_keys")).limit(0)
-    to = spark.createDataFrame([(r.part, r.doc_id, firsts[i - 1].part) for i, r in enumerate(firsts)], "p int, id long, to int")
-    heads = rows.join(small(to), (F.col("part") == F.col("p")) & F.col("doc_id").eqNullSafe(F.col("id"))).groupBy("to").agg(F.min("text").alias("text")).select(F.lit(None).cast("long").alias("doc_id"), "text", F.col("to").alias("part"), F.lit(1).alias("head"))
-    both = rows.withColumn("head", F.lit(0)).unionByName(heads).withColumn("keys", digests(F.col("text")))
-    after = Window.partitionBy("part").orderBy("head", F.col("doc_id").asc_nulls_first(), "text")
-    return both.select("doc_id", "text", "keys", "head", F.lead("text").over(after).alias("next_text"), F.lead("keys").over(after).alias("next_keys")).where("head = 0").drop("head")
+        return rows.withColumn("keys", keys).withColumn("s", base_sketch(F.col("keys"))).withColumns({"next_text": F.col("text"), "next_keys": F.col("keys"), "ns": F.col("s")}).select(*columns).limit(0)
+    to = spark.createDataFrame([(r.part, r.below, r.share, *r.least, *firsts[i - 1][:3]) for i, r in enumerate(firsts)], "p int, b int, s long, id long, x long, tp int, tb int, ts long")
+    at = (F.col("part") == F.col("p")) & (F.col("below") == F.col("b")) & (F.col("share") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("x"))
+    heads = rows.join(small(to), at).groupBy("tp", "tb", "ts").agg(F.min("text").alias("text"))
+    heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("hash"), F.col("tp").alias("part"), F.col("tb").alias("below"), F.col("ts").alias("share"), F.lit(1).alias("head"))
+    both = rows.withColumn("head", F.lit(0)).unionByName(heads).withColumn("keys", keys).withColumn("s", base_sketch(F.col("keys")))
+    after = Window.partitionBy(*ranges).orderBy("head", F.col("doc_id").asc_nulls_first(), "hash", "text")
+    return both.select("head", "doc_id", "text", "keys", "s", *[F.lead(a).over(after).alias(b) for a, b in (("text", "next_text"), ("keys", "next_keys"), ("s", "ns"))]).where("head = 0").select(*columns)
 
 
 def fingerprints_and_edits(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next), a row for each row.
 
     Likeness: of the digests of both versions, the share that both have (1 if neither has any), from the number of
-    digests recovered by peeling. Nulls: a null text is an empty one; null ids come first. Rows that share an id follow
-    each other by text. A single row follows itself; an empty table gives no rows. Further columns are ignored. A long
-    text has as many digests as paragraphs, in rows of their own; nothing is cut.
+    digests recovered by peeling: of the two fingerprints' difference if they hold it, which needs nothing but the
+    strings, else of larger tables. Paragraphs count as often as they come, white space at their ends doesn't, nor does
+    their order. Nulls: a null text is an empty one; null ids come first. Rows that share an id follow each other by the
+    hash of their texts. A single row follows itself; an empty table gives no rows. Further columns are ignored. A long
+    text has as many digests as paragraphs; nothing is cut.
     """
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    rows = with_next(documents).withColumn("edited", edited).withColumn("edited_keys", digests(F.col("edited")))
-    rows = rows.withColumns({"s": base_sketch(F.col("keys")), "es": base_sketch(F.col("edited_keys")), "ns": base_sketch(F.col("next_keys"))})
+    rows = with_next(documents).withColumn("edited", edited).withColumn("edited_keys", digests(F.col("edited"))).withColumn("es", base_sketch(F.col("edited_keys")))
     first = written(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "s", "es", "ns", "keys", "edited_keys", "next_keys"), "sketches"
     ).withColumns({"d_edited": base_difference(F.col("s"), F.col("es")), "d_next": base_difference(F.col("s"), F.col("ns"))})

@@ -1,23 +1,27 @@
 import hashlib
 import random
+import re
 from collections import Counter
 
 import corpus_pipeline
 import sentencepiece
+import xxhash
+from pyspark.sql import functions as F
 
 from attestry.llm import bloom_lookup as bl
 from attestry.llm import sentencepiece_viterbi as sp
 
 
 def pieces(text):
-    import re
-
-    out = set()
+    """The paragraphs of a text, each with how often it came before."""
+    out, seen = set(), Counter()
     for line in (text or "").split("\n"):
         w = list(re.finditer(r"[^\x20\x09-\x0D]+", line))
         for i in range(0, len(w), bl.PIECE_WORDS):
             part = w[i : i + bl.PIECE_WORDS]
-            out.add(line[part[0].start() : part[-1].end()])
+            p = line[part[0].start() : part[-1].end()]
+            out.add((p, seen[p]))
+            seen[p] += 1
     return out
 
 
@@ -25,8 +29,12 @@ def likeness(a, b):
     return 1.0 if not a | b else len(a & b) / len(a | b)
 
 
+def xxhash64(text):
+    return int.from_bytes(xxhash.xxh64_digest(text.encode(), 42), "big", signed=True)
+
+
 def check(df):
-    rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, (r.text or "").encode()))
+    rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r.doc_id is not None, r.doc_id or 0, xxhash64(r.text or ""), r.text or ""))
     want = Counter()
     for i, r in enumerate(rows):
         t, n = r.text or "", rows[(i + 1) % len(rows)].text or ""
@@ -50,6 +58,29 @@ def test_equals_brute_force(spark, documents, odd, empty):
     check(documents.limit(1))
 
 
+def test_repeats_and_white_space_at_ends(spark):
+    texts = ["a b c\t\nd e", "a b c\nd e", "a b c\r\nd e\r\n", "a b c\nd e\nd e", "d e\na b c", "a b c\nd e\nd e\nd e \x0b", "a\tb c\nd e"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got, _ = check(df)
+    prints = {r.doc_id: r.fingerprint for r in got}
+    assert prints[0] == prints[1] == prints[2] == prints[4] and len(set(prints.values())) == 4
+    assert next(r for r in got if r.doc_id == 2).near_next == 2 / 3
+
+
+def test_rows_that_share_an_id_in_many_shares(spark, monkeypatch):
+    monkeypatch.setattr(bl, "SHARE_ROWS", 7)
+    rows = [(None if i % 3 == 0 else 5 if i % 3 == 1 else i % 40, f"text {i % 61}\nof {i % 7}") for i in range(200)]
+    check(spark.createDataFrame(rows, "doc_id long, text string"))
+
+
+def test_two_strings_are_enough_to_peel_what_they_hold(spark, documents):
+    found = bl.fingerprints_and_edits(documents).select("doc_id", "near_edited", bl.read_sketch(F.col("fingerprint")).alias("s"), bl.read_sketch(F.col("edited_fingerprint")).alias("e"))
+    n = lambda c: F.aggregate(F.slice(c, 1, bl.BASE_WIDTH), F.lit(0), lambda a, x: a + x["c"])
+    rows = found.select("near_edited", bl.base_difference(F.col("s"), F.col("e")).alias("d"), (n("s") + n("e")).alias("n")).collect()
+    held = [r for r in rows if r.d is not None]
+    assert len(held) > 10 and all(abs((r.n - r.d) / (r.n + r.d) - r.near_edited) < 1e-9 for r in held if r.n)
+
+
 def test_peeling_recovers_the_digests_also_of_large_differences(spark):
     rng = random.Random(1)
     long = lambda n: [rng.getrandbits(63) for _ in range(n)]
