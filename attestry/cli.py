@@ -8,6 +8,7 @@ import sys
 from datetime import UTC, datetime
 from pathlib import Path
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -73,6 +74,14 @@ def cmd_plan(spark: SparkSession, a: argparse.Namespace) -> int:
     return 0
 
 
+def extra_body(a: argparse.Namespace) -> dict | None:
+    """The JSON object of --extra-body."""
+    found = json.loads(a.extra_body) if a.extra_body else None
+    if found is not None and not isinstance(found, dict):
+        raise ValueError("--extra-body must be a JSON object")
+    return found
+
+
 def cmd_annotate(spark: SparkSession, a: argparse.Namespace) -> int:
     papers = registry.select_rows(tables.read_papers(spark, a.papers), a.ids, a.scholar, a.split)
     families, moves = tables.codebook(spark, tables.load_yaml(a.codebook))
@@ -85,9 +94,10 @@ def cmd_annotate(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.dry_run:
         ready.write.mode("overwrite").parquet(a.out)
         return 0
-    config = chat.ChatConfig.from_env(base_url=a.base_url, model=a.model, temperature=a.temperature, max_tokens=a.max_tokens, json_mode=a.json_mode)
-    done = chat.replies(ready.withColumnRenamed("paper_id", "id"), lambda m: chat.complete(config, m), workers=a.workers)
-    ready.join(done.withColumnRenamed("id", "paper_id").withColumnRenamed("status", "call"), "paper_id").withColumn("status", F.col("call")).withColumn("config", F.lit(json.dumps(config.public()))).write.mode("append").parquet(a.out)
+    client = chat.ChatClient(chat.checked_options({"base_url": a.base_url, "model": a.model, "temperature": a.temperature, "max_tokens": a.max_tokens, "json_mode": a.json_mode, "extra": extra_body(a)}))
+    done = chat.replies(ready.withColumnRenamed("paper_id", "id"), client, workers=a.workers)
+    told = {"status": F.col("call"), "config": F.lit(client.provenance()), "annotator_id": F.lit(a.annotator_id or client.options["model"])}
+    ready.join(done.withColumnRenamed("id", "paper_id").withColumnRenamed("status", "call"), "paper_id").withColumns(told).write.mode("append").parquet(a.out)
     failed = spark.read.parquet(a.out).where("status = 'failed'").count() + made.where("status <> 'ready'").count()
     return int(bool(a.strict and failed))
 
@@ -98,6 +108,9 @@ def cmd_validate(spark: SparkSession, a: argparse.Namespace) -> int:
     done = evidence.verify(found, evidence.prepared_texts(texts_of(spark, a)), moves, annotations.schema_errors(found), a.fuzzy, a.accept_fuzzy, a.min_hit_rate)
     told = evidence.verdicts(done)
     print(render.table(told, ["paper_id"]))
+    if a.verbose:
+        why = F.concat(F.transform("schema_errors", lambda e: F.concat(F.lit("schema: "), e)), F.transform("unknown_codes", lambda c: F.concat(F.lit("unknown code: "), c)), F.coalesce(F.transform("misses", lambda m: F.concat(m["where"], F.lit(" "), m["status"], F.lit(": "), m["quote"])), F.array().cast("array<string>")))
+        print(render.table(done.select("paper_id", F.explode(why).alias("problem")), ["paper_id", "problem"]))
     if a.write:
         evidence.stamps(done, a.codebook_version, datetime.now(UTC).isoformat(timespec="seconds"), a.accept_fuzzy, a.min_hit_rate).write.mode("overwrite").parquet(a.write)
     return int(bool(a.strict and told.where("verdict <> 'PASS'").take(1)))
@@ -139,8 +152,8 @@ def cmd_holdout(spark: SparkSession, a: argparse.Namespace) -> int:
     if a.dry_run:
         asked.write.mode("overwrite").parquet(f"{a.out}/prompts")
         return 0
-    config = chat.ChatConfig.from_env(base_url=a.base_url, model=a.model)
-    told = chat.replies(asked.select(F.to_json(F.struct("paper_id", "system")).alias("id"), "prompt"), lambda m: chat.complete(config, m))
+    client = chat.ChatClient(chat.checked_options({"base_url": a.base_url, "model": a.model, "extra": extra_body(a)}))
+    told = chat.replies(asked.select(F.to_json(F.struct("paper_id", "system")).alias("id"), "prompt"), client)
     replies = told.select(F.get_json_object("id", "$.paper_id").alias("paper_id"), F.get_json_object("id", "$.system").alias("system"), "reply")
     best = gold.where("split = 'heldout'").select("paper_id", "family").join(F.broadcast(holdout.majority(gold)), "family", "left").withColumn("system", F.lit("majority"))
     scored = holdout.scores(holdout.parsed_predictions(replies, moves).unionByName(best.select("paper_id", "system", "family", "pred")), gold)
@@ -195,13 +208,13 @@ def parser() -> argparse.ArgumentParser:
     papers, texts, out = ("--papers", {"default": "papers.csv"}), ("--texts", {"default": "texts"}), ("--out", {"required": True})
     dirs, stamps, book, rule_file = ("dirs", {"nargs": "+"}), ("--stamps", {}), ("--codebook", {"required": True}), ("--rules", {"required": True})
     flag = {"action": "store_true"}
-    version, model = ("--codebook-version", {"default": "0.0.0"}), (("--base-url", {}), ("--model", {}))
+    version, model = ("--codebook-version", {"default": "0.0.0"}), (("--base-url", {}), ("--model", {}), ("--extra-body", {}))
     add("import", cmd_import, ("file", {}), ("--format", {"choices": ["ris", "endnote"], "default": "ris"}), ("--scholar", {"required": True}), ("--scholar-name", {"default": ""}), papers, out)
     add("split", cmd_split, ("--ratio", {"type": float, "default": 0.2}), ("--seed", {"type": int, "default": 2026}), papers, out)
     add("status", cmd_status, ("--annotations", {"nargs": "*", "default": []}), papers, texts)
     add("plan", cmd_plan, ("--per-scholar", {"type": int, "default": 15}), papers, texts, out)
-    add("annotate", cmd_annotate, papers, texts, out, book, version, ("--prompt", {"required": True}), ("--ids", {}), ("--scholar", {}), ("--split", {}), ("--workers", {"type": int, "default": 2}), ("--max-chars", {"type": int, "default": 60_000}), ("--allow-truncate", flag), ("--force", flag), ("--dry-run", flag), ("--strict", flag), ("--temperature", {"type": float, "default": 0.0}), ("--max-tokens", {"type": int}), ("--json-mode", flag), *model)
-    add("validate", cmd_validate, dirs, papers, texts, book, version, ("--write", {}), ("--strict", flag), ("--min-hit-rate", {"type": float, "default": 0.9}), ("--fuzzy", {"type": float}), ("--accept-fuzzy", flag))
+    add("annotate", cmd_annotate, papers, texts, out, book, version, ("--prompt", {"required": True}), ("--ids", {}), ("--scholar", {}), ("--split", {}), ("--workers", {"type": int, "default": 2}), ("--max-chars", {"type": int, "default": 60_000}), ("--allow-truncate", flag), ("--annotator-id", {}), ("--force", flag), ("--dry-run", flag), ("--strict", flag), ("--temperature", {"type": float, "default": 0.0}), ("--max-tokens", {"type": int}), ("--json-mode", flag), *model)
+    add("validate", cmd_validate, dirs, papers, texts, book, version, ("--write", {}), ("-v --verbose", flag), ("--strict", flag), ("--min-hit-rate", {"type": float, "default": 0.9}), ("--fuzzy", {"type": float}), ("--accept-fuzzy", flag))
     add("agree", cmd_agree, ("dir_a", {}), ("dir_b", {}), papers, stamps, book, ("--strict", flag))
     add("aggregate", cmd_aggregate, dirs, papers, stamps, rule_file, out, ("--report", {"required": True}), ("--allow-unverified", flag), ("--allow-unsplit", flag))
     add("mine", cmd_mine, dirs, papers, stamps, rule_file, ("--top", {"type": int, "default": 30}))
@@ -216,8 +229,8 @@ def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         return a.run(session(), a)
-    except (ValueError, OSError) as e:
-        print(f"error: {e}", file=sys.stderr)
+    except (ValueError, OSError, PySparkException) as e:
+        print(f"error: {str(e).splitlines()[0] if isinstance(e, PySparkException) else e}", file=sys.stderr)
         return 2
 
 

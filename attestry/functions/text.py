@@ -11,16 +11,19 @@ from pyspark.sql import types as T
 
 # Fixed values of the normal form: marks that are dropped, bracketed references, punctuation of equal meaning, dashes.
 DROPPED = "[\u2460-\u24FF\u2776-\u2793\u00B9\u00B2\u00B3\u2070-\u2079\u200B-\u200D\uFEFF]"
-REFERENCES = "[\\[\uFF3B](?U:\\s*)[0-9]{1,3}(?U:\\s*)(?:[-,\uFF0C\u3001](?U:\\s*)[0-9]{1,3}(?U:\\s*))*[\\]\uFF3D]"
+REFERENCES = "[\\[\uFF3B](?U:\\s*\\d{1,3}\\s*)(?:[-,\uFF0C\u3001](?U:\\s*\\d{1,3}\\s*))*[\\]\uFF3D]"
 PUNCTUATION_FROM = "“”„‟「」『』〝〞‘’‚‛，、。．…：；！？（）【】《》〈〉"
 PUNCTUATION_TO = "\"\"\"\"\"\"\"\"\"\"'''',,...:;!?()[]<><>"
 DASHES = "[\u2010-\u2015\u2212\u2500\uFE58\uFE63\uFF0D-]+"
 PARAGRAPH_ENDS = ("。", "！", "？", "”", "」", "』")
-HEADING = r"^(?:[一二三四五六七八九十]+[、.．]|[（(][一二三四五六七八九十0-9]+[)）]|[0-9]+(?:\.[0-9]+)*(?:[、.．]|(?U:\s))|引言|导言|结语|结论|参考文献|摘(?U:\s*)要|关(?U:\s*)键(?U:\s*)词)"
+HEADING = r"^(?:[一二三四五六七八九十]+[、.．]|[（(](?:[一二三四五六七八九十]|(?U:\d))+[)）]|(?U:\d+)(?:\.(?U:\d+))*(?:[、.．]|(?U:\s))|引言|导言|结语|结论|参考文献|摘(?U:\s*)要|关(?U:\s*)键(?U:\s*)词)"
 ABSTRACT = r"(?is)(?:内容)?摘(?U:\s*)要(?U:\s*)[:：]?(?U:\s*)(.+?)(?U:\s*)(?:关(?U:\s*)键(?U:\s*)词|关键字|key(?U:\s*)words|中图分类号)"
-LOCATOR = r"(?i)P(?U:\s*)([0-9]+)(?:(?U:\s*)[-~–—至](?U:\s*)P?(?U:\s*)([0-9]+))?"
+LOCATOR = r"(?i)P(?U:\s*)((?U:\d+))(?:(?U:\s*)[-~–—至](?U:\s*)P?(?U:\s*)((?U:\d+)))?"
 LOCATOR_SPAN = 20
 QUOTE_MARKS = "['\"]"
+#: Decimal digits of all scripts, and the same in ASCII.
+DIGITS = "".join(chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd")
+ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
 
 
 @F.pandas_udf(T.StringType())
@@ -37,8 +40,10 @@ def folded(text: Column) -> Column:
 
 
 def normalize(text: Column) -> Column:
-    """The symmetric normal form in which quotes and texts are compared. Null stays null."""
-    return folded(nfkc(F.regexp_replace(text, DROPPED, "")))
+    """The symmetric normal form in which quotes and texts are compared. Null stays null. ASCII texts are their own NFKC and don't go to the UDF."""
+    bare = F.regexp_replace(text, DROPPED, "")
+    ascii_only = F.length(bare) == F.octet_length(bare)
+    return folded(F.coalesce(F.when(ascii_only, bare), nfkc(F.when(~ascii_only, bare))))
 
 
 def ascii_fold(text: Column) -> Column:
@@ -101,7 +106,7 @@ def numbered(pars: Column) -> Column:
 
 def located(loc: Column) -> Column:
     """Paragraph numbers of a locator such as `P12-P14`; a range has 21 at most; anything else gives none."""
-    text = F.coalesce(loc, F.lit(""))
+    text = F.translate(F.coalesce(loc, F.lit("")), DIGITS, ASCII_DIGITS)
     first, last = (F.regexp_extract_all(text, F.lit(LOCATOR), F.lit(g)) for g in (1, 2))
     pairs = F.arrays_zip(first.alias("a"), last.alias("b"))
 

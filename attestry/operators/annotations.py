@@ -9,9 +9,10 @@ from attestry import schemas
 from attestry.functions.text import filled
 
 # Forms and lengths that the annotation schema asks for.
-VERSION_FORM = r"^\d+\.\d+\.\d+$"
-CODE_FORM = r"^[A-Z]+-[A-Z0-9]+(-[A-Z0-9]+)*$"
+VERSION_FORM = r"^0\.[23]\."
+CODE_FORM = r"^[A-Z]+-[A-Z0-9-]+$"
 QUOTE_CHARS = (4, 200)
+LOC_CHARS = 2
 
 
 def blank(c: Column) -> Column:
@@ -19,8 +20,10 @@ def blank(c: Column) -> Column:
 
 
 def schema_errors(annotations: DataFrame) -> DataFrame:
-    """(paper_id, schema_errors): one strict rule set, compiled into column predicates; messages sorted."""
+    """(paper_id, schema_errors): one strict rule set, compiled into column predicates; messages sorted. Column `unknown`, if there, names properties that may not be."""
     field = lambda n: F.col("fields")[n]
+    bad = lambda e: blank(e["quote"]) | blank(e["loc"]) | ~F.length(e["quote"]).between(*QUOTE_CHARS) | (F.length(e["loc"]) < LOC_CHARS)
+    told = f"needs a quote of {QUOTE_CHARS[0]} to {QUOTE_CHARS[1]} characters and a loc of {LOC_CHARS} or more"
     checks = [F.when(blank(F.col(c)), F.lit(f"{c}: missing")) for c in ("paper_id", "codebook_version", "paper_type")]
     checks += [F.when(F.col(c).isNull(), F.lit(f"{c}: missing")) for c in ("fields", "moves")]
     checks += [F.when(~blank(F.col("codebook_version")) & ~F.col("codebook_version").rlike(VERSION_FORM), F.lit("codebook_version: form"))]
@@ -28,14 +31,17 @@ def schema_errors(annotations: DataFrame) -> DataFrame:
     for n in schemas.FIELDS:
         f = field(n)
         present = f["status"] == "present"
-        bad = lambda e: blank(e["quote"]) | blank(e["loc"]) | ~F.length(e["quote"]).between(*QUOTE_CHARS)
+        items = F.from_json(F.when(f["value"].startswith("["), f["value"]), "array<string>")
+        checks += [F.when((f["value"] == "") | (F.size(items) == 0) | F.exists(items, blank), F.lit(f"fields/{n}/value: empty"))]
         checks += [F.when(f.isNull(), F.lit(f"fields/{n}: missing"))]
         checks += [F.when(f.isNotNull() & (f["status"].isNull() | ~f["status"].isin(*schemas.FIELD_STATUSES)), F.lit(f"fields/{n}/status: unknown value"))]
         checks += [F.when(present & (blank(f["value"]) | f["value"].isin("[]", "null") | (F.coalesce(F.size(f["evidence"]), F.lit(0)) <= 0)), F.lit(f"fields/{n}: present without value and evidence"))]
-        checks += [F.when(F.exists(F.coalesce(f["evidence"], F.array().cast(schemas.EVIDENCE)), bad), F.lit(f"fields/{n}/evidence: needs a quote of {QUOTE_CHARS[0]} to {QUOTE_CHARS[1]} characters and a loc"))]
+        checks += [F.when(F.exists(F.coalesce(f["evidence"], F.array().cast(schemas.EVIDENCE)), bad), F.lit(f"fields/{n}/evidence: {told}"))]
     extra = F.array_sort(F.array_except(F.map_keys(F.coalesce("fields", F.create_map().cast("map<string,struct<status:string,value:string,evidence:array<struct<quote:string,loc:string>>>>"))), F.array(*[F.lit(n) for n in schemas.FIELDS])))
     checks += [F.when(F.size(extra) > 0, F.concat(F.lit("fields: unexpected "), F.array_join(extra, ", ")))]
-    moves = F.transform(F.coalesce("moves", F.array().cast("array<struct<code:string,evidence:array<struct<quote:string,loc:string>>,note:string>>")), lambda m, i: F.when(m.isNull() | blank(m["code"]) | ~F.coalesce(m["code"].rlike(CODE_FORM), F.lit(False)) | (F.coalesce(F.size(m["evidence"]), F.lit(0)) <= 0), F.concat(F.lit("moves/"), i.cast("string"), F.lit(": needs a code and evidence"))))
+    moves = F.transform(F.coalesce("moves", F.array().cast("array<struct<code:string,evidence:array<struct<quote:string,loc:string>>,note:string>>")), lambda m, i: F.when(m.isNull() | blank(m["code"]) | ~F.coalesce(m["code"].rlike(CODE_FORM), F.lit(False)) | (F.coalesce(F.size(m["evidence"]), F.lit(0)) <= 0), F.concat(F.lit("moves/"), i.cast("string"), F.lit(": needs a code and evidence"))).when(F.exists(m["evidence"], bad), F.concat(F.lit("moves/"), i.cast("string"), F.lit(f"/evidence: {told}"))))
+    if "unknown" in annotations.columns:
+        checks += [F.when(F.size("unknown") > 0, F.concat(F.lit("unknown properties: "), F.array_join("unknown", ", ")))]
     return annotations.select("paper_id", F.array_sort(F.filter(F.concat(F.array(*checks), moves), lambda e: e.isNotNull())).alias("schema_errors"))
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,24 +28,73 @@ def read_papers(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_papers(papers: DataFrame, path: str) -> None:
-    """Fixed column order; the job's commit puts all files in place at once."""
-    papers.select(*schemas.PAPER_COLUMNS).write.mode("overwrite").option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+    """Fixed column order. The rows are written beside the old registry, which only then gives way: papers may be read from it."""
+    put_in_place(papers.sparkSession, path, lambda new: papers.select(*schemas.PAPER_COLUMNS).write.option("header", True).option("escape", '"').option("emptyValue", "").csv(new))
+
+
+def put_in_place(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write(folder) to a new folder beside path, then renames: a failed write leaves what is at path, and so does a lost driver."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    mark = uuid.uuid4().hex[:8]
+    target, new, old = (hadoop.Path(path.rstrip("/") + end) for end in ("", f".new-{mark}", f".old-{mark}"))
+    files = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    write(new.toString())
+    had = files.exists(target)
+    if had and not files.rename(target, old):
+        raise OSError(f"{path} can't be moved aside; the new rows are in {new.toString()}")
+    if not files.rename(new, target):
+        if had:
+            files.rename(old, target)
+        raise OSError(f"{path} can't be replaced; the new rows are in {new.toString()}")
+    if had:
+        files.delete(old, True)
 
 
 def read_annotations(spark: SparkSession, folders: list[str]) -> DataFrame:
-    """One JSON file each, with dir_ord and file, by which `first` is defined. Names that start with _ are left out by Spark."""
+    """One JSON file each, with dir_ord and file, by which `first` is defined, and `unknown`: paths of properties that the
+    schema doesn't have. Names that start with _ are left out by Spark; a file that is no JSON gives nulls."""
     out = None
     for i, folder in enumerate(folders):
-        one = spark.read.schema(schemas.ANNOTATION).option("multiLine", True).option("pathGlobFilter", "*.json").json(folder)
-        one = one.withColumn("dir_ord", F.lit(i)).withColumn("file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+        one = spark.read.text(folder, wholetext=True, pathGlobFilter="*.json")
+        one = one.select(F.from_json("value", schemas.ANNOTATION).alias("a"), unknown_properties(F.col("value")).alias("unknown"), F.lit(i).alias("dir_ord"), F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"))
+        one = one.select("a.*", "dir_ord", "file", "unknown")
         out = one if out is None else out.unionByName(one)
-    out = out if out is not None else spark.createDataFrame([], T.StructType([*schemas.ANNOTATION.fields, T.StructField("dir_ord", T.IntegerType()), T.StructField("file", T.StringType())]))
+    if out is None:
+        out = spark.createDataFrame([], T.StructType([*schemas.ANNOTATION.fields, T.StructField("dir_ord", T.IntegerType()), T.StructField("file", T.StringType()), T.StructField("unknown", T.ArrayType(T.StringType()))]))
     return out.withColumn("paper_id", F.coalesce("paper_id", F.regexp_replace("file", "\\.json$", "")))
 
 
+def unknown_properties(text: Column) -> Column:
+    """Paths of the properties of an annotation's JSON text that the published schema doesn't allow, sorted."""
+    none = F.array().cast("array<string>")
+
+    def beyond(json: Column, known: tuple[str, ...], at: Column) -> Column:
+        found = F.array_except(F.coalesce(F.json_object_keys(json), none), F.array(*[F.lit(k) for k in known]))
+        return F.transform(found, lambda k: F.concat(at, k))
+
+    def listed(json: Column) -> Column:
+        return F.coalesce(F.from_json(json, "array<string>"), none)
+
+    def evidence(json: Column, at: Column) -> Column:
+        return F.flatten(F.transform(listed(F.get_json_object(json, "$.evidence")), lambda e: beyond(e, ("quote", "loc"), F.concat(at, F.lit("/evidence/")))))
+
+    fields = F.map_entries(F.coalesce(F.from_json(F.get_json_object(text, "$.fields"), "map<string,string>"), F.create_map().cast("map<string,string>")))
+    in_field = lambda e: F.concat(beyond(e["value"], ("status", "value", "evidence"), F.concat(F.lit("fields/"), e["key"], F.lit("/"))), evidence(e["value"], F.concat(F.lit("fields/"), e["key"])))
+    in_move = lambda m: F.concat(beyond(m, ("code", "evidence", "note"), F.lit("moves/")), evidence(m, F.lit("moves")))
+    top = beyond(text, tuple(schemas.ANNOTATION.names), F.lit(""))
+    return F.array_sort(F.array_distinct(F.concat(top, F.flatten(F.transform(fields, in_field)), F.flatten(F.transform(listed(F.get_json_object(text, "$.moves")), in_move)))))
+
+
 def read_json_lines(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Blank lines are skipped; a line that is no JSON fails the read."""
-    return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
+    """Blank lines are skipped; a line that is no JSON object fails the read, with its file and number.
+
+    A file is one row until its lines are numbered, so it may have 2 GB at most: split larger exports into files.
+    """
+    files = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("at", "line"))
+    rows = files.where(F.trim("line") != "")
+    # a later filter may be evaluated first, so that blank lines are told apart here too
+    checked = F.when(F.trim("line") == "", F.lit(None)).when(F.json_object_keys("line").isNull(), F.raise_error(F.concat("file", F.lit(":"), (F.col("at") + 1).cast("string"), F.lit(": not a JSON object")))).otherwise(F.col("line"))
+    return rows.select(F.from_json(checked, schema, {"mode": "FAILFAST"}).alias("x")).select("x.*")
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from attestry.operators.integrity import IntegrityError, keyed_difference, mentions, require_unique
 from attestry.sources import bibliography, chat, tables
 
-RIS = "TY  - JOUR\nAU  - 张三\nAU  - 李四\nTI  - 治理研究\nT2  - 期刊\nPY  - 2020\nIS  - 03\nSP  - 1\nEP  - 20\nER  - \n\nTY  - JOUR\nT1  - Second\nPY  - 20x\nTY  - JOUR\nTI  - Third, unclosed\nER  - \n"
-ENW = "%0 Journal Article\n%A 张三\n%T 一个标题\n%J 学报\n%D 2021\n%N 06\n%P 33-48\n%X 摘要内容\n\n%0 Journal Article\n%A A, B; C\n%T Two\n%P 7\n"
+RIS = "TY  - JOUR\nAU  - 周遥\nAU  - 何川\nTI  - 河流与渡口\nT2  - 水文札记\nPY  - 2013\nIS  - 07\nSP  - 41\nEP  - 58\nER  - \n\nTY  - JOUR\nT1  - Second\nPY  - 20x\nTY  - JOUR\nTI  - Third, unclosed\nER  - \n"
+ENW = "%0 Journal Article\n%A 周遥\n%T 山路的名称\n%J 地名季刊\n%D 2017\n%N 02\n%P 5-19\n%X 一段说明\n\n%0 Journal Article\n%A A, B; C\n%T Two\n%P 7\n"
 
 
 def files(spark, text):
@@ -17,17 +17,17 @@ def files(spark, text):
 
 
 def test_ris(spark):
-    rows = bibliography.paper_rows(bibliography.parse_ris(files(spark, RIS)), "ris", "A", "张三").orderBy("rec").collect()
-    assert [r.title for r in rows] == ["治理研究", "Second", "Third, unclosed"]
+    rows = bibliography.paper_rows(bibliography.parse_ris(files(spark, RIS)), "ris", "A", "周遥").orderBy("rec").collect()
+    assert [r.title for r in rows] == ["河流与渡口", "Second", "Third, unclosed"]
     r = rows[0]
-    assert (r.authors, r.issue, r.pages, r.author_role, r.period, r.year) == ("张三、李四", "3", "1-20", "first", "2016-2020", "2020")
+    assert (r.authors, r.issue, r.pages, r.author_role, r.period, r.year) == ("周遥、何川", "7", "41-58", "first", "2010-2015", "2013")
     strict = bibliography.paper_rows(bibliography.parse_ris(files(spark, RIS), keep_unclosed=False), "ris", "A").collect()
-    assert sorted(r.title for r in strict) == ["Third, unclosed", "治理研究"]
+    assert sorted(r.title for r in strict) == ["Third, unclosed", "河流与渡口"]
 
 
 def test_endnote(spark):
-    rows = bibliography.paper_rows(bibliography.parse_endnote(files(spark, ENW)), "enw", "A", "张三").orderBy("rec").collect()
-    assert (rows[0].year, rows[0].issue, rows[0].pages, rows[0].author_role, rows[0].abstract) == ("2021", "6", "33-48", "sole", "摘要内容")
+    rows = bibliography.paper_rows(bibliography.parse_endnote(files(spark, ENW)), "enw", "A", "周遥").orderBy("rec").collect()
+    assert (rows[0].year, rows[0].issue, rows[0].pages, rows[0].author_role, rows[0].abstract) == ("2017", "2", "5-19", "sole", "一段说明")
     assert (rows[1].authors, rows[1].pages) == ("A、B、C", "7")
     whole = bibliography.paper_rows(bibliography.parse_endnote(files(spark, ENW)), "enw", "A", whole_names=True).orderBy("rec").collect()
     assert whole[1].authors == "A, B、C"
@@ -42,6 +42,41 @@ def test_papers_round_trip(spark, tmp_path):
     assert one.collect() == again.collect() and again.first().title == "x, y" and again.first().split == ""
 
 
+def test_the_registry_is_replaced_in_place(spark, tmp_path):
+    path = str(tmp_path / "p.csv")
+    (tmp_path / "p.csv").write_text("paper_id,title,topic\nA-1,x,water\n", encoding="utf-8")
+    for n in (2, 3):
+        old = tables.read_papers(spark, path)
+        tables.write_papers(old.unionByName(old.where("paper_id = 'A-1'").withColumn("paper_id", F.lit(f"A-{n}"))), path)
+    assert [(r.paper_id, r.topic) for r in tables.read_papers(spark, path).orderBy("paper_id").collect()] == [("A-1", "water"), ("A-2", "water"), ("A-3", "water")]
+    broken = tables.read_papers(spark, path).withColumn("title", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        tables.write_papers(broken, path)
+    assert tables.read_papers(spark, path).count() == 3
+    assert [p.name for p in tmp_path.iterdir() if ".old" in p.name] == []
+
+
+def test_columns_of_the_registry(spark, tmp_path):
+    (tmp_path / "p.csv").write_text("paper_id,notes\nA,n\n", encoding="utf-8")
+    tables.write_papers(tables.read_papers(spark, str(tmp_path / "p.csv")), str(tmp_path / "q"))
+    first = next(p for p in (tmp_path / "q").iterdir() if p.suffix == ".csv").read_text().splitlines()[0]
+    assert first == "paper_id,scholar_key,authors,title,journal,year,issue,pages,author_role,topic,paper_type,period,verify_status,verified_fields,source_url,oa_url,seed_source,split,fulltext,notes"
+
+
+def test_json_lines_name_the_broken_line(spark, tmp_path):
+    (tmp_path / "c.jsonl").write_text('{"comment_id": "1", "generalizable": true, "more": 1}\n\n{"comment_id": \n', encoding="utf-8")
+    with pytest.raises(Exception, match=r"c\.jsonl:3"):
+        tables.read_comments(spark, str(tmp_path / "c.jsonl")).collect()
+    (tmp_path / "c.jsonl").write_text('{"comment_id": "1", "generalizable": true}\r\n', encoding="utf-8")
+    assert tables.read_comments(spark, str(tmp_path / "c.jsonl")).first().comment_id == "1"
+
+
+def test_unknown_properties_are_found(spark):
+    text = json.dumps({"paper_id": "a", "odd": 1, "fields": {"puzzle": {"status": "absent", "x": 1, "evidence": [{"quote": "q", "loc": "P1", "page": 2}]}}, "moves": [{"code": "A-B", "evidence": [], "why": ""}]})
+    got = spark.createDataFrame([(text,), ("no json",)], "t string").select(tables.unknown_properties(F.col("t")).alias("u")).collect()
+    assert [r.u for r in got] == [["fields/puzzle/evidence/page", "fields/puzzle/x", "moves/why", "odd"], []]
+
+
 def test_annotation_folders_keep_their_order(spark, tmp_path):
     for d, names in (("one", ["b.json", "_skip.json"]), ("two", ["a.json"])):
         (tmp_path / d).mkdir()
@@ -118,13 +153,28 @@ def service():
 
 def test_chat_retries_and_gives_up(service):
     script, url = service
-    config = chat.ChatConfig(url, "m")
-    script += [503, "hello"]
-    assert chat.complete(config, [], wait=0) == "hello"
+    client = chat.ChatClient(chat.checked_options({"base_url": url, "model": "m", "extra": {"top_p": 1}}, {}), chat.Retry(waits=(0, 0)))
+    script += [503, 429, "hello"]
+    assert client([]) == "hello" and client.body([]) == {"messages": [], "model": "m", "temperature": 0.0, "top_p": 1}
     script += [400]
     with pytest.raises(RuntimeError, match="400"):
-        chat.complete(config, [], wait=0)
-    assert "base_url" not in config.public() and config.public()["host"].startswith("127.0.0.1")
+        client([])
+    script += [503, 503, 503]
+    with pytest.raises(RuntimeError, match="503"):
+        client([])
+    told = json.loads(client.provenance())
+    assert told["host"].startswith("127.0.0.1") and url not in client.provenance()
+
+
+@pytest.mark.parametrize("given", [{}, {"base_url": "u"}, {"base_url": "u", "model": "m", "top": 1}, {"base_url": "u", "model": "m", "timeout": "x"}])
+def test_chat_options_are_checked(given):
+    with pytest.raises(ValueError):
+        chat.checked_options(given, {})
+
+
+def test_chat_options_come_from_the_environment():
+    got = chat.checked_options({"temperature": 1}, {"ATTESTRY_CHAT_URL": "http://h/v1", "ATTESTRY_CHAT_MODEL": "m"})
+    assert (got["base_url"], got["model"], got["temperature"], got["timeout"]) == ("http://h/v1", "m", 1.0, 900)
 
 
 def test_replies_repair_and_report(spark):
