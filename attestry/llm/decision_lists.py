@@ -165,8 +165,10 @@ def learned(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS,
     """The decision list as SQL, from the labelled documents among the `rows` ids with the least hash that pass the base rule; quality 0 is what it rejects."""
     known = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("quality"))
     picked = known.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), "doc_id").limit(rows)
-    texts = documents.select("doc_id", "text").join(F.broadcast(picked), "doc_id")  # of `rows` rows at most
-    sample = document_stats(texts, whole=True).where(~base_failed()).select("row.doc_id", "row.quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).orderBy("doc_id", *FEATURES).toPandas()
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(picked), "doc_id")  # of `rows` rows at most
+    # one row for each label: of documents that share its id the one with the least hash of its text
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    sample = document_stats(texts, whole=True).where(~base_failed()).select("row.doc_id", "row.quality", *[F.expr(e).alias(k) for k, e in FEATURES.items()]).toPandas().sort_values("doc_id")
     bad = (sample["quality"] == 0).to_numpy()
     return kept_sql(learn({k: sample[k].to_numpy(float) for k in FEATURES}, bad, seed) if len(bad) else [])
 
@@ -183,6 +185,10 @@ def judge(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, se
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame, rows: int = LABELLED_ROWS, seed: int = SEED) -> DataFrame:
-    """The rows that judge() keeps, with all their columns, in one pass."""
+    """The rows that judge() keeps, with all their columns, in one pass.
+
+    Nulls and tables without labels as in judge(): a row without a text fails the base rule and goes. Rows with null,
+    equal or repeated ids are judged one by one by their own text; an empty table gives no rows.
+    """
     rule = learned(documents, labels, rows, seed)
     return document_stats(documents, whole=True).where(~base_failed() & F.expr(rule)).select("row.*")

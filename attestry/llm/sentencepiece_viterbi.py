@@ -28,14 +28,58 @@ UNKNOWN_COST = 10.0
 MEMO_PAIRS = 2_000_000
 
 
+# Field numbers of the model file, and what its model types are.
+TRAINER, NORMALIZER = 2, 3
+MODEL_TYPE, SUFFIX_BLANKS = 3, 24
+CHARACTER_MAP, DUMMY_PREFIX, SQUEEZES_BLANKS, ESCAPES_BLANKS, RULES = 2, 3, 4, 5, 6
+KINDS = {1: "unigram", 2: "bpe"}
+
+
+def message(raw: bytes) -> Iterator[tuple[int, int | bytes]]:
+    """(field number, value) of a protocol buffer message."""
+    at = 0
+
+    def varint() -> int:
+        nonlocal at
+        out = shift = 0
+        while True:
+            out |= (raw[at] & 127) << shift
+            shift, at = shift + 7, at + 1
+            if raw[at - 1] < 128:
+                return out
+
+    while at < len(raw):
+        key = varint()
+        if key & 7 == 0:
+            yield key >> 3, varint()
+            continue
+        size = {1: 8, 5: 4}.get(key & 7)
+        size = varint() if size is None else size
+        yield key >> 3, raw[at : at + size]
+        at += size
+
+
+def checked_kind(path: str) -> str:
+    """The model's type; raises ValueError if it normalises texts in a way that the search here doesn't follow."""
+    with open(path, "rb") as f:
+        parts = {n: dict(message(v)) for n, v in message(f.read()) if n in (TRAINER, NORMALIZER)}
+    trainer, rules = parts.get(TRAINER, {}), parts.get(NORMALIZER, {})
+    wrong = [name for name, bad in (("a character map", rules.get(CHARACTER_MAP)), ("rules", rules.get(RULES)), ("no blank in front", not rules.get(DUMMY_PREFIX, 1)), ("blanks removed", rules.get(SQUEEZES_BLANKS, 1)), ("blanks not escaped", not rules.get(ESCAPES_BLANKS, 1)), ("blanks behind words", trainer.get(SUFFIX_BLANKS, 0))) if bad]
+    kind = KINDS.get(trainer.get(MODEL_TYPE, 1))
+    if wrong or kind is None:
+        raise ValueError(f"{path}: not supported: {', '.join(wrong) or 'its model type'}")
+    return kind
+
+
 class Model:
-    """Pieces of a SentencePiece model file. kind: "bpe" or "unigram"."""
+    """Pieces of a SentencePiece model file. kind: "bpe" or "unigram", by default what the file says."""
 
-    def __init__(self, path: str, kind: str = "bpe") -> None:
+    def __init__(self, path: str, kind: str | None = None) -> None:
         import sentencepiece
 
+        found = checked_kind(path)
         library = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.kind, self.pieces, self.ids, self.score = kind, [], {}, []
+        self.kind, self.pieces, self.ids, self.score = kind or found, [], {}, []
         for i in range(library.vocab_size()):
             piece = library.id_to_piece(i)
             self.pieces.append(piece)
@@ -148,10 +192,10 @@ class Model:
 class Encoder:
     """Whole texts. No piece spans a blank inside, or a line feed: there all paths meet, so such units can be cached."""
 
-    def __init__(self, path: str, kind: str = "bpe") -> None:
-        self.model = Model(path, kind)
+    def __init__(self, path: str) -> None:
+        self.model = Model(path)
         inner = any(SPACE in p.lstrip(SPACE) or "\n" in p for p in self.model.ids)
-        self.by_unit = kind == "bpe" and not inner
+        self.by_unit = self.model.kind == "bpe" and not inner
         self.cache = UnitCache(lambda found: [self.stream(u if u[0] == "\n" else SPACE + u) for u in found])
 
     def stream(self, text: str) -> bytes:
@@ -174,9 +218,9 @@ class Encoder:
 
 
 @lru_cache(1)
-def encoder_of(path: str, kind: str) -> Encoder:
+def encoder_of(path: str) -> Encoder:
     """One for each Python worker: its cache serves all tasks that the worker runs."""
-    return Encoder(path, kind)
+    return Encoder(path)
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -185,19 +229,21 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
-def encode(documents: DataFrame, model: str | None = None, kind: str = "bpe", keep: list[str] | None = None) -> DataFrame:
+def encode(documents: DataFrame, model: str | None = None, keep: list[str] | None = None) -> DataFrame:
     """documents(doc_id, text, ...) -> keep columns (doc_id), token_ids (array<int>), n_tokens, ids_crc32 (little-endian
     32-bit), decoded_chars and round_trip: whether decoding gives the text back.
 
     One narrow pass without a shuffle. Nulls: a null text is encoded as an empty one (no ids); a null doc_id stays null.
     Equal rows stay separate; an empty table gives no rows; a text of any length is a stream with a bounded window. The
-    character U+2581 stands for a blank, as in the library, so a text that holds it doesn't come back the same.
+    character U+2581 stands for a blank, as in the library, so a text that holds it doesn't come back the same. A model
+    file that normalises texts raises ValueError. keep: columns of documents that stay; clashing names are theirs to avoid.
     """
     path, kept = model or model_path(), keep or ["doc_id"]
+    checked_kind(path)
     rows = documents.select(*kept, F.coalesce("text", F.lit("")).alias("__text"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = encoder_of(path, kind)
+        encoder = encoder_of(path)
         for b in batches:
             texts = b.column("__text").to_pylist()
             raw = encoder.all(texts)
@@ -214,8 +260,13 @@ def encode(documents: DataFrame, model: str | None = None, kind: str = "bpe", ke
 
 
 def decode(encoded: DataFrame, model: str | None = None) -> DataFrame:
-    """Adds `text`, the decoded token_ids (null ids give null)."""
-    path = model or model_path()
+    """Adds `text`, the decoded token_ids, in place of any such column.
+
+    Null ids give null, no ids an empty text; an id that the model doesn't have raises IndexError. Equal rows stay
+    separate; an empty table gives no rows; other columns stay.
+    """
+    path, encoded = model or model_path(), encoded.drop("text")
+    checked_kind(path)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = Model(path)

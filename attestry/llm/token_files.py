@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -16,6 +17,8 @@ from .common import map_batches, new_path, shuffle_partitions, small
 from .units import ODD_SPACE, UnitCache, units
 
 END_ID = 2
+#: Rows of one doc_id beyond which they may be cut into several files.
+HOT_ROWS = 10_000
 #: Bytes of a row group and of a page; the page is what a reader of a few documents has to decode.
 ROW_GROUP_BYTES = 32 << 20
 PAGE_BYTES = 64 << 10
@@ -32,6 +35,16 @@ def vocabulary(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@lru_cache(8)
+def check_vocabulary(path: str) -> None:
+    """Raises ValueError unless the file is a byte-level BPE without a normaliser, for which units are independent."""
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f)
+    split, model = found.get("pre_tokenizer") or {}, found["model"]
+    if found.get("normalizer") or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True) or model.get("type") != "BPE" or model.get("dropout") or found.get("truncation"):
+        raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
+
+
 class ByteBpe:
     """The tokenizers library over cached units.
 
@@ -42,6 +55,7 @@ class ByteBpe:
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
+        check_vocabulary(path)
         self.library = Tokenizer.from_file(path)
         self.feed = self.by_library(["\n"])[0]
         self.cache, self.tails = UnitCache(self.new_units), {}
@@ -112,7 +126,10 @@ def byte_bpe(path: str) -> ByteBpe:
 def encoded(documents: DataFrame, vocab: str, end_id: int = END_ID) -> DataFrame:
     """Rows in ascending doc_id order with token_ids (array<int>), n_tokens, and where they start in their file."""
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), *[c for c in ("lang", "source") if c in documents.columns])
-    rows = rows.repartitionByRange(shuffle_partitions(documents.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
+    # an id with many rows, as null may be, fills several files; only then cuts need the texts, and the order is the same
+    hot = documents.groupBy("doc_id").count().where(F.col("count") > HOT_ROWS).take(1)
+    cuts = ["doc_id"] + [F.substring("text", 1, 64)] * bool(hot)
+    rows = rows.repartitionByRange(shuffle_partitions(documents.sparkSession), *cuts).sortWithinPartitions("doc_id", "text").withColumn("file", F.spark_partition_id())
     meta = [c for c in rows.columns if c not in ("doc_id", "text", "file")]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,6 +158,7 @@ def write_token_files(documents: DataFrame, path: str, vocab: str | None = None,
     documents, in order of their texts. An empty table gives a folder without rows. Long texts are encoded whole.
     Strings of special tokens follow the library's default: `<|endoftext|>` in a text becomes that token.
     """
+    check_vocabulary(vocab or vocabulary())
     encoded(documents, vocab or vocabulary(), end_id).write.option("compression", "zstd").option("parquet.writer.version", "PARQUET_2_0").option("parquet.enable.dictionary", "true").option("parquet.enable.dictionary#token_ids.list.element", "false").option("parquet.block.size", ROW_GROUP_BYTES).option("parquet.page.size", PAGE_BYTES).option("parquet.page.row.count.limit", 1000).parquet(path)
     return path
 

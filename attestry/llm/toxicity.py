@@ -166,11 +166,16 @@ def known_labels(labels: DataFrame, categories: dict[str, Column]) -> DataFrame:
 
 
 def training_rows(documents: DataFrame, known: DataFrame, decisive: str, rows: int, seed: int) -> DataFrame:
-    """(text, one 0/1 column for each category) of a bounded sample of labelled rows, half of them with the decisive category."""
+    """(doc_id, text, one 0/1 column for each category) of a bounded sample of labels, half of them with the decisive category.
+
+    One row for each label at most: of documents that share its id the one with the least hash of its text.
+    """
     order = [F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), F.col("doc_id")]
     half = [known.where(F.col(decisive) == v).orderBy(*order).limit(rows // 2) for v in (1, 0)]
     picked = F.broadcast(half[0].unionByName(half[1]))  # of `rows` rows at most
-    return documents.select("doc_id", "text").join(picked, "doc_id")
+    names = [c for c in known.columns if c != "doc_id"]
+    texts = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(picked, "doc_id")
+    return texts.groupBy("doc_id", *names).agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")).select("doc_id", "text", *names)
 
 
 def class_weights(known: DataFrame, decisive: str, rows: int) -> np.ndarray:
@@ -227,7 +232,7 @@ def train(documents: DataFrame, labels: DataFrame, categories: dict[str, Column]
 
     if not chosen:
         return chain
-    rows_of = map_batches(sample, matrix, "doc_id long, cols array<long>, fold long, " + ", ".join(f"`{c}` int" for c in names)).orderBy("doc_id", "fold", "cols").toPandas()
+    rows_of = map_batches(sample, matrix, "doc_id long, cols array<long>, fold long, " + ", ".join(f"`{c}` int" for c in names)).toPandas().sort_values("doc_id")  # `rows` rows at most
     sizes = rows_of["cols"].map(len).to_numpy()
     x = Sparse(np.repeat(np.arange(len(rows_of)), sizes), np.concatenate(rows_of["cols"].to_numpy()).astype(np.int64), len(rows_of), len(chosen))
     return fit_chain(names, chosen, x, rows_of[names].to_numpy(), rows_of["fold"].to_numpy(), class_weights(known, decisive, rows)[rows_of[decisive].to_numpy()])
@@ -263,6 +268,10 @@ def judge(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The rows that judge() does not call toxic, with all their columns."""
+    """The rows that judge() does not call toxic, with all their columns.
+
+    Nulls, equal texts and tables without labels as in judge(): a row without a text is judged by the base rates. Rows
+    with null, equal or repeated ids are judged one by one by their own text; an empty table gives no rows.
+    """
     chain = train(documents, labels, {k: F.expr(v) for k, v in CATEGORIES.items()}, "toxic", **options)
     return score(documents, chain, "toxic", whole=True).where("kept").select("row.*")

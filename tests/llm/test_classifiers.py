@@ -131,3 +131,99 @@ def test_odd_rows_are_scored(spark, odd, empty, labels):
 @pytest.mark.parametrize(("text", "want"), [("Trash### trash, TRASH", {b"trash"}), (None, set()), ("réeux ", {"réeux".encode()})])
 def test_words(text, want):
     assert tx.word_set(text) == want
+
+
+def plain_features(text):
+    """Words, and stems that two or four of the text's different words share, by the definition."""
+    words = set(re.sub(rb"[^A-Za-z\x80-\xff]", b" ", (text or "").encode()).lower().split())
+    out = set(words)
+    for w in words:
+        for k in range(4, 9):
+            if len(w) >= k:
+                n = sum(1 for v in words if len(v) >= k and v[:k] == w[:k])
+                out |= {bytes([m]) + w[:k] for m in (2, 4) if n >= m}
+    return out
+
+
+@pytest.mark.parametrize("penalty", [tx.PENALTY, 8.0])
+def test_fit_is_optimal(penalty):
+    """The subgradient of the penalised log-likelihood is zero: nothing but the optimum has that."""
+    rng = np.random.default_rng(2)
+    n, cols = 400, 12
+    dense = rng.random((n, cols)) < 0.2
+    y = (rng.random(n) < 1 / (1 + np.exp(-(2.0 * dense[:, 0] - 1.5 * dense[:, 1] - 0.5)))).astype(float)
+    row, col = np.nonzero(dense)
+    use = rng.choice([0.0, 1.0, 2.5], n)
+    extra = np.c_[rng.normal(size=n), np.ones(n)]
+    w = tx.fit(tx.Sparse(row, col, n, cols), extra, y, use, penalty)
+    x = np.c_[dense, extra].astype(float)
+    g = x.T @ (use * (1 / (1 + np.exp(-(x @ w))) - y))
+    for j in range(len(w) - 1):
+        assert abs(g[j] + penalty * np.sign(w[j])) < 0.5 if w[j] else abs(g[j]) < penalty + 0.5
+    assert abs(g[-1]) < 0.5 and w[0] > 0.5 and (w == 0).any() == (penalty > 1)
+
+
+def test_the_chain_equals_a_plain_one(spark, documents, table):
+    """Features, folds, out-of-fold probabilities, cuts and predictions of the query, by plain loops over its own sample."""
+    labels = table("labels")
+    names = list(tx.CATEGORIES)
+    chain = tx.train(documents, labels, {k: tx.F.expr(v) for k, v in tx.CATEGORIES.items()}, "toxic")
+    text = {r.doc_id: r.text for r in documents.collect()}
+    marks = {r.doc_id: [int(r.quality == 0), int(r.toxic == 1), int(r.toxic == 1 and r.quality == 0)] for r in labels.collect() if r.doc_id in text}
+    ids = sorted(marks)
+    assert set(chain.words) <= set().union(*[plain_features(text[i]) for i in ids])
+
+    def matrix(ids):
+        x = np.zeros((len(ids), len(chain.words)))
+        for n, i in enumerate(ids):
+            for w in plain_features(text[i]) & chain.words.keys():
+                x[n, chain.words[w]] = 1
+        return x
+
+    import xxhash
+
+    x, y = matrix(ids), np.array([marks[i] for i in ids])
+    fold = np.array([xxhash.xxh64_intdigest(text[i].encode(), tx.SEED) % tx.FOLDS for i in ids])
+    row, col = np.nonzero(x)
+    sparse, before = tx.Sparse(row, col, len(ids), x.shape[1]), np.zeros((len(ids), 0))
+    for k in range(len(names)):
+        extra = np.c_[tx.logit(before), np.ones(len(ids))]
+        whole = tx.fit(sparse, extra, y[:, k].astype(float), np.ones(len(ids)))
+        assert np.allclose(whole, chain.weights[k], atol=1e-6), names[k]
+        p = np.zeros(len(ids))
+        for f in range(tx.FOLDS):
+            w = tx.fit(sparse, extra, y[:, k].astype(float), (fold != f).astype(float))
+            p[fold == f] = (1 / (1 + np.exp(-np.clip(np.c_[x, extra] @ w, -30, 30))))[fold == f]
+        assert abs(tx.cut_of(p, y[:, k], np.ones(len(ids))) - chain.cuts[k]) < 1e-9
+        before = np.c_[before, p]
+    every = sorted(text)
+    x, told = matrix(every), np.zeros((len(every), 0))
+    for w in chain.weights:
+        told = np.c_[told, 1 / (1 + np.exp(-np.clip(np.c_[x, tx.logit(told), np.ones(len(every))] @ w, -30, 30)))]
+    got = {r.doc_id: r for r in tx.judge(documents, labels).collect()}
+    for i, p in zip(every, told, strict=True):
+        assert np.allclose([got[i].p_low_quality, got[i].p_toxic, got[i].p_toxic_junk], p, atol=1e-6)
+        assert got[i].toxic == (p[1] >= chain.cuts[1]) or abs(p[1] - chain.cuts[1]) < 1e-6
+
+
+def test_kept_equals_the_emitted_sql(spark, documents, table):
+    """The learned list as the SQL that it emits, run by another engine on counts made by brute force."""
+    import duckdb
+    import pandas as pd
+
+    rule = dl.learned(documents, table("labels"))
+    stats = pd.DataFrame([(r.doc_id, *brute_stats(r.text)) for r in documents.collect()], columns=[f.split()[0] for f in dl.STATS.split(", ")])
+    con = duckdb.connect()
+    con.register("stats", stats)
+    sql = re.sub(r"(?<=[0-9])D\b", "", rule)
+    want = dict(con.sql(f"select doc_id, n_words >= 50 and 100 * n_repeat_words <= 50 * n_words and ({sql}) from stats").fetchall())
+    assert rule.startswith("case") and {r.doc_id: r.kept for r in dl.judge(documents, table("labels")).collect()} == want
+
+
+def test_the_sample_is_bounded_with_repeated_ids(spark):
+    docs = spark.createDataFrame([(i % 4, f"word{i} and some more of it") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(4)] * 9, "doc_id long, quality int, toxic int")
+    known = tx.known_labels(labels, {"toxic": tx.F.expr("toxic = 1")})
+    got = tx.training_rows(docs, known, "toxic", 2, 1).collect()
+    assert len(got) == 2 and len({r.doc_id for r in got}) == 2
+    assert dl.judge(docs, labels, rows=3).count() == 400

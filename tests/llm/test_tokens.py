@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter
@@ -109,3 +110,27 @@ def test_files_have_indexes_and_selective_reads(spark, documents, tmp_path):
     assert any("DELTA" in e for e in ids_col.encodings) and cols["doc_id"].has_column_index and cols["doc_id"].has_offset_index
     plan = tf.read_token_files(spark, path).where("doc_id = 5").select("doc_id", "n_tokens")._jdf.queryExecution().executedPlan().toString()
     assert "token_ids" not in plan.split("ReadSchema")[1].split("\n")[0] and "EqualTo(doc_id,5)" in plan
+
+
+def test_a_hot_id_fills_several_files_in_the_same_order(spark, monkeypatch):
+    rows = [(None if i % 3 else 7, f"t{i % 11} x{i % 17}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda r: (r.start, r.n_tokens, r.ids_crc32, r.doc_id)
+    want = sorted(map(key, tf.round_trip(df).collect()))
+    monkeypatch.setattr(tf, "HOT_ROWS", 20)
+    assert sorted(map(key, tf.round_trip(df).collect())) == want
+    assert tf.encoded(df, tf.vocabulary()).groupBy("file").count().count() > 2
+
+
+def test_unsupported_vocabularies_are_refused(tmp_path):
+    found = json.loads(open(tf.vocabulary(), encoding="utf-8").read())
+    for change in ({"normalizer": {"type": "Lowercase"}}, {"pre_tokenizer": {"type": "Whitespace"}}, {"pre_tokenizer": found["pre_tokenizer"] | {"add_prefix_space": True}}):
+        (tmp_path / "v.json").write_text(json.dumps(found | change), encoding="utf-8")
+        tf.check_vocabulary.cache_clear()
+        with pytest.raises(ValueError):
+            tf.check_vocabulary(str(tmp_path / "v.json"))
+    raw = open(sp.model_path(), "rb").read()
+    assert sp.checked_kind(sp.model_path()) == "bpe"
+    (tmp_path / "m.model").write_bytes(raw + bytes([sp.NORMALIZER << 3 | 2, 2, sp.SQUEEZES_BLANKS << 3, 1]))  # a later field counts
+    with pytest.raises(ValueError, match="blanks removed"):
+        sp.checked_kind(str(tmp_path / "m.model"))
