@@ -31,12 +31,15 @@ SHARE_ROWS = 10_000
 PIECE = rf"[^\x20\x09-\x0D]++(?:[\x20\x09\x0B-\x0D]++[^\x20\x09-\x0D]++){{0,{PIECE_WORDS - 1}}}+"
 
 
-def digests(text: Column) -> Column:
-    """Distinct digests of the paragraphs that have a word; one that comes again counts anew, by how often it came before."""
+def with_digests(rows: DataFrame, text: str, name: str) -> DataFrame:
+    """Adds the distinct digests of the paragraphs that have a word; one that comes again counts anew, by how often it came before.
+
+    The sorted digests are a column of their own first: as a part of one expression they would be made anew for each use.
+    """
     sorted_ = F.array_sort(F.transform(F.regexp_extract_all(text, F.lit(PIECE), F.lit(0)), lambda p: F.xxhash64(p)))
-    place = lambda x, i: i - F.array_position(sorted_, x).cast("int") + 1
-    again = F.transform(sorted_, lambda x, i: F.when(place(x, i) > 0, F.xxhash64(x, place(x, i))).otherwise(x))
-    return F.when(F.size(F.array_distinct(sorted_)) < F.size(sorted_), F.array_distinct(again)).otherwise(sorted_)
+    place = lambda x, i: i - F.array_position("__sorted", x).cast("int") + 1
+    again = F.transform("__sorted", lambda x, i: F.when(place(x, i) > 0, F.xxhash64(x, place(x, i))).otherwise(x))
+    return rows.withColumn("__sorted", sorted_).withColumn(name, F.when(F.size(F.array_distinct("__sorted")) < F.size("__sorted"), F.array_distinct(again)).otherwise(F.col("__sorted"))).drop("__sorted")
 
 
 def check(key: Column) -> Column:
@@ -174,14 +177,13 @@ def with_next(documents: DataFrame) -> DataFrame:
     ranges = ["part", "below", "share"]
     firsts = rows.groupBy(*ranges).agg(F.min(F.struct("doc_id", "hash")).alias("least")).orderBy(*ranges).collect()  # a row for each range
     columns = ["doc_id", "text", "keys", "s", "next_text", "next_keys", "ns"]
-    keys = digests(F.col("text"))
     if not firsts:
-        return rows.withColumn("keys", keys).withColumn("s", base_sketch(F.col("keys"))).withColumns({"next_text": F.col("text"), "next_keys": F.col("keys"), "ns": F.col("s")}).select(*columns).limit(0)
+        return with_digests(rows, "text", "keys").withColumn("s", base_sketch(F.col("keys"))).withColumns({"next_text": F.col("text"), "next_keys": F.col("keys"), "ns": F.col("s")}).select(*columns).limit(0)
     to = spark.createDataFrame([(r.part, r.below, r.share, *r.least, *firsts[i - 1][:3]) for i, r in enumerate(firsts)], "p int, b int, s long, id long, x long, tp int, tb int, ts long")
     at = (F.col("part") == F.col("p")) & (F.col("below") == F.col("b")) & (F.col("share") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("hash") == F.col("x"))
     heads = rows.join(small(to), at).groupBy("tp", "tb", "ts").agg(F.min("text").alias("text"))
     heads = heads.select(F.lit(None).cast("long").alias("doc_id"), "text", F.lit(0).cast("long").alias("hash"), F.col("tp").alias("part"), F.col("tb").alias("below"), F.col("ts").alias("share"), F.lit(1).alias("head"))
-    both = rows.withColumn("head", F.lit(0)).unionByName(heads).withColumn("keys", keys).withColumn("s", base_sketch(F.col("keys")))
+    both = with_digests(rows.withColumn("head", F.lit(0)).unionByName(heads), "text", "keys").withColumn("s", base_sketch(F.col("keys")))
     after = Window.partitionBy(*ranges).orderBy("head", F.col("doc_id").asc_nulls_first(), "hash", "text")
     return both.select("head", "doc_id", "text", "keys", "s", *[F.lead(a).over(after).alias(b) for a, b in (("text", "next_text"), ("keys", "next_keys"), ("s", "ns"))]).where("head = 0").select(*columns)
 
@@ -197,7 +199,7 @@ def fingerprints_and_edits(documents: DataFrame) -> DataFrame:
     text has as many digests as paragraphs; nothing is cut.
     """
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.expr("substring(next_text, 1, cast(floor(length(text) / 2) as int))"))
-    rows = with_next(documents).withColumn("edited", edited).withColumn("edited_keys", digests(F.col("edited"))).withColumn("es", base_sketch(F.col("edited_keys")))
+    rows = with_digests(with_next(documents).withColumn("edited", edited), "edited", "edited_keys").withColumn("es", base_sketch(F.col("edited_keys")))
     first = written(
         rows.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "s", "es", "ns", "keys", "edited_keys", "next_keys"), "sketches"
     ).withColumns({"d_edited": base_difference(F.col("s"), F.col("es")), "d_next": base_difference(F.col("s"), F.col("ns"))})
