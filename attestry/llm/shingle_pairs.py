@@ -1,8 +1,10 @@
 """Near copies by shared shingles: every pair of texts whose 5-word shingles have a Jaccard similarity of 0.8, exactly.
 
-A SimHash radius can't promise that: at similarity 0.8 the fingerprints differ by 9.7 bits of 64 in the mean, with a
-deviation of 2.9, and buckets for such a radius hold nearly all pairs. Here candidates come from the prefix filter: with
-the shingles of all texts in one order, two texts that are alike share one of their first n - ceil(0.8 n) + 1.
+SimHash fingerprints of the shingles come first: bit-sliced comparison finds those that differ in RADIUS bits or fewer,
+and the shingles confirm them, so that copies are linked before anything else is compared. A radius can't promise the
+rest: at similarity 0.8 fingerprints differ by 9.7 bits of 64 in the mean, with a deviation of 2.9, and buckets for such
+a radius hold nearly all pairs. Further candidates come from the prefix filter: with the shingles of all texts in one
+order, two texts that are alike share one of their first n - ceil(0.8 n) + 1.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_batches, small, written
-from .simhash import components
+from .simhash import RADIUS, components, links
 
 SHINGLE_WORDS = 5
 #: The least similarity as a fraction, so that no rounding decides.
@@ -41,6 +43,21 @@ def shingles(text: str | None, k: int = SHINGLE_WORDS) -> tuple[int, np.ndarray]
     return node, np.unique(np.array([digest(joined[a:z], SEED) for a, z in zip(first, last, strict=True)], np.uint64).view(np.int64))
 
 
+def fingerprint_of(hashes: np.ndarray) -> int:
+    """A bit is 1 if over half of the shingles' digests have it."""
+    ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.int64)[0])
+
+
+def by_fingerprint(nodes: DataFrame) -> DataFrame:
+    """nodes(node, fp) -> (u, v): each node with the least one of its fingerprint, and those of fingerprints that are near."""
+    firsts = written(nodes.groupBy("fp").agg(F.min("node").alias("first")), "fingerprints")
+    same = nodes.join(firsts, "fp").where("node <> first").select(F.col("node").alias("u"), F.col("first").alias("v"))
+    near = links(firsts.select("fp"), RADIUS)
+    one, two = (firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_node")) for c in ("u", "v"))
+    return same.unionByName(near.join(one, "u").join(two, "v").select(F.col("u_node").alias("u"), F.col("v_node").alias("v"))).distinct()
+
+
 def lists(parts: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum([len(p) for p in parts])].astype(np.int32)), pa.array(np.concatenate([*parts, np.zeros(0, np.int64)]), pa.int64()))
 
@@ -105,30 +122,32 @@ def near_groups(documents: DataFrame) -> DataFrame:
     """documents(doc_id, text, ...) -> (doc_id, component_id), one row for each row.
 
     Texts with equal words (ASCII case aside) or a Jaccard similarity of 0.8 or more of their shingles are linked;
-    component_id is the smallest doc_id that a document reaches over links. Each bucket of texts that share a shingle is
-    first compared with one of them if they share enough there, so that a group of copies costs a row for each; then all pairs that are not yet in
-    one group are. Nulls: a null text has no words, as an empty one; a null doc_id is a component's only without others.
+    component_id is the smallest doc_id that a document reaches over links. Near fingerprints are confirmed first. Of each
+    bucket of texts that share a shingle all are then compared with one of them if they share enough there, so that a
+    group of copies costs a row for each; then all pairs that are not yet in one group are. Nulls: a null text has no words, as an empty one; a null doc_id is a component's only without others.
     """
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             found = [shingles(t) for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), lists([f[1] for f in found])], names=["doc_id", "node", "hashes"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([f[0] for f in found], pa.int64()), pa.array([fingerprint_of(f[1]) for f in found], pa.int64()), lists([f[1] for f in found])], names=["doc_id", "node", "fp", "hashes"])
 
-    rows = written(map_batches(documents.select("doc_id", "text"), each, "doc_id long, node long, hashes array<long>"), "shingles")
-    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("least"))
+    rows = written(map_batches(documents.select("doc_id", "text"), each, "doc_id long, node long, fp long, hashes array<long>"), "shingles")
+    nodes = written(rows.groupBy("node").agg(F.min("doc_id").alias("least"), F.min("fp").alias("fp")), "nodes")
     sets = rows.select("node", "hashes")
+    sure = written(verified(by_fingerprint(nodes), sets), "sure")
     held = prefixes(sets).repartition("h")  # one shuffle for both uses
     shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("z")).where("p.node <> z").select("h", F.col("p.node").alias("v"), F.col("p.n").alias("m"))
     buckets = written(held.join(shared, "h").distinct(), "buckets")
     pairs = enough(buckets.select(F.col("node").alias("u"), "v", "n", "m").where(alike_in_size()))
-    edges = written(verified(pairs, sets), "pairs")
+    told = sure.unionByName(sure.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    edges = written(sure.unionByName(verified(pairs.join(told, ["u", "v"], "left_anti"), sets)), "pairs")
     rooted = buckets.select("h", "node", "n").join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h")
     left = written(rooted.join(split, "h"), "left")
     one, two = left.select("h", F.col("node").alias("u"), "n", F.col("root").alias("r")), left.select("h", F.col("node").alias("v"), F.col("n").alias("m"), F.col("root").alias("s"))
     rest = one.join(two, "h").where((F.col("r") != F.col("s")) & (F.col("u") < F.col("v")) & alike_in_size())
     edges = edges.unionByName(verified(enough(rest), sets))
-    named = nodes.join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    named = nodes.drop("fp").join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     ids = named.groupBy("root").agg(F.min("least").alias("component_id"))
     return rows.select("doc_id", "node").join(named.join(ids, "root").select("node", "component_id"), "node").select("doc_id", "component_id")
