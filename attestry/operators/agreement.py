@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Units of one group that a bootstrap draws from: numbers, which each task holds once.
+MOST_UNITS = 1_000_000
+
+
 def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
     """(by..., n, p_observed, kappa) over rows of two ratings, from the table of pairs alone."""
     by = by or []
@@ -71,19 +75,21 @@ def bootstrap(diffs: DataFrame, value: str, key: list[str], by: list[str] | None
     """(by..., n, mean, lo, hi): mean of paired differences with a percentile interval.
 
     Draw b, place i takes the row number hash(seed, b, i) mod n, in the order of `key`: the same in any engine and
-    partitioning. Nulls are dropped. Rows of one `by` are paired units (papers, items), numbered within it; draws are
-    made in parallel over all of `by`.
+    partitioning. Nulls are dropped. Rows of one `by` are paired units (papers, items), numbered within it; their values
+    are one array that every draw reads, so that no row is made for a place. Above MOST_UNITS units it raises.
     """
     by = by or []
     rows = diffs.where(F.col(value).isNotNull()).select(*by, *key, F.col(value).cast("double").alias("x"))
-    w = Window.partitionBy(*by).orderBy(*key)
-    numbered = rows.select(*by, (F.row_number().over(w) - 1).cast("long").alias("i"), "x")
     sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    draws = sizes.select(*by, "n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition(*by, "b") if by else sizes.select("n", F.explode(F.sequence(F.lit(0), F.lit(n_boot - 1))).alias("b")).repartition("b")
-    places = draws.select(*by, "n", "b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("at"))
-    word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("at").cast("string"))), 1, 8)
-    places = places.select(*by, "b", (F.conv(word, 16, 10).cast("long") % F.col("n")).alias("i"))
-    means = places.join(numbered, [*by, "i"]).groupBy(*by, "b").agg(F.avg("x").alias("m"))
+    n = F.when(F.col("n") > MOST_UNITS, F.raise_error(F.lit(f"more than {MOST_UNITS} units")).cast("long")).otherwise(F.col("n"))
+    units = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*key, "x"))).alias("all"), F.count(F.lit(1)).alias("n")).select(*by, n.alias("n"), F.transform("all", lambda u: u["x"]).alias("xs"))
+    draws = diffs.sparkSession.range(0, n_boot, 1, int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").alias("b")).join(F.broadcast(units))  # a row for each group
+
+    def drawn(at: Column) -> Column:
+        word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), at.cast("string"))), 1, 8)
+        return F.get("xs", (F.conv(word, 16, 10).cast("long") % F.col("n")).cast("int"))
+
+    means = draws.select(*by, (F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda a, i: a + drawn(i)) / F.col("n")).alias("m"))
     lo, hi = max(0, int(alpha / 2 * n_boot // 1)), min(n_boot - 1, -int(-(1 - alpha / 2) * n_boot // 1) - 1)
     sorted_means = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("all"))  # n_boot numbers
     picked = sorted_means.select(*by, F.get("all", F.lit(lo)).alias("lo"), F.get("all", F.lit(hi)).alias("hi"))

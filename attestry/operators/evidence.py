@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from attestry.functions import text as tx
 from attestry.functions.fuzzy import fuzzy_ratio
@@ -13,19 +17,21 @@ from attestry.schemas import FIELDS
 MIN_CHARS = 6
 MAX_CHARS = 150
 MIN_HIT_RATE = 0.9
+#: Characters of all quotes that go into one automaton (about 100 bytes each).
+AUTOMATON_CHARS = 1_000_000
 #: Grams of quotes are broadcast if a count proves them no more than this (12 characters each).
 BROADCAST_GRAMS = 500_000
 
 
 def prepared_texts(texts: DataFrame, pars: Column | None = None, form=tx.normalize) -> DataFrame:  # noqa: ANN001
-    """texts(paper_id, text) -> (paper_id, pars: normal form of each paragraph, fulltext_sha256), once for all quotes.
+    """texts(paper_id, text) -> (paper_id, pars: normal form of each paragraph, whole: all of them, fulltext_sha256), once for all quotes.
 
     Paragraphs are joined with a mark that the normal form drops nowhere, so the one UDF sees a text once.
     """
     split = pars if pars is not None else tx.paragraphs(F.col("text"))
     mark = "\uE000"
     normal = form(F.array_join(F.transform(split, lambda p: F.replace(p, F.lit(mark), F.lit(""))), mark))
-    return texts.select("paper_id", F.split(normal, mark).alias("pars"), F.sha2(F.col("text").cast("binary"), 256).alias("fulltext_sha256"))
+    return texts.select("paper_id", F.split(normal, mark).alias("pars"), F.replace(normal, F.lit(mark), F.lit("")).alias("whole"), F.sha2(F.col("text").cast("binary"), 256).alias("fulltext_sha256"))
 
 
 def check_quotes(quotes: DataFrame, prepared: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, fuzzy: float | None = None, form=tx.normalize) -> DataFrame:  # noqa: ANN001
@@ -34,9 +40,9 @@ def check_quotes(quotes: DataFrame, prepared: DataFrame, min_chars: int = MIN_CH
     too_long, too_short, exact (in the paragraphs of a valid locator, or anywhere without one), loc_mismatch (elsewhere
     in the text), fuzzy (nearly, if asked for), miss. Quotes of a paper without a text are misses.
     """
-    rows = quotes.join(prepared.select("paper_id", "pars"), "paper_id", "left").withColumn("__q", form(F.coalesce("quote", F.lit(""))))
+    rows = quotes.join(prepared.select("paper_id", "pars", F.col("whole").alias("__all")), "paper_id", "left").withColumn("__q", form(F.coalesce("quote", F.lit(""))))
     pars = F.coalesce("pars", F.array().cast("array<string>"))
-    rows = rows.withColumn("__at", F.filter(tx.located(F.col("loc")), lambda i: (i >= 1) & (i <= F.size(pars)))).withColumn("__all", F.array_join(pars, ""))
+    rows = rows.withColumn("__at", F.filter(tx.located(F.col("loc")), lambda i: (i >= 1) & (i <= F.size(pars))))
     local = F.array_join(F.transform("__at", lambda i: F.get(pars, i.cast("int") - 1)), "")
     status = (
         F.when(F.length(F.coalesce("quote", F.lit(""))) > max_chars, "too_long").when(F.length("__q") < min_chars, "too_short")
@@ -56,12 +62,15 @@ def check_quotes(quotes: DataFrame, prepared: DataFrame, min_chars: int = MIN_CH
 def find_quotes(quotes: DataFrame, texts: DataFrame, gram: int = 12, form=tx.normalize) -> DataFrame:  # noqa: ANN001
     """(quote_id, paper_id): every text that contains a quote, without a key to join on.
 
-    quotes(quote_id, quote) are few; texts(paper_id, text) many. A text that holds a quote holds all its grams, so any
-    one of them finds it: each quote is indexed by the gram that the fewest texts hold, and a text meets it only there.
-    Gram counts are taken only for grams of quotes. Quotes shorter than a gram are compared with `contains` as they are.
+    quotes(quote_id, quote) are few; texts(paper_id, text) many. Quotes of AUTOMATON_CHARS in all, by count, go into one
+    automaton that reads each text once. With more of them: a text that holds a quote holds all its grams, so any one of
+    them finds it: each quote is indexed by the gram that the fewest texts hold, and a text meets it only there. Gram
+    counts are taken only for grams of quotes. Quotes shorter than a gram always go into the automaton.
     """
-    q = quotes.select("quote_id", form(F.col("quote")).alias("q")).where("q <> ''")
+    q = settled(quotes.select("quote_id", form(F.col("quote")).alias("q")).where("q <> ''").distinct())
     t = texts.select("paper_id", form(F.col("text")).alias("t"))
+    if (q.agg(F.sum(F.length("q"))).first()[0] or 0) <= AUTOMATON_CHARS:
+        return by_automaton(q, t).distinct()
     every = F.lit(f"(?s)(?=(.{{{gram}}}))")  # each place is read once, whatever the length
     grams = q.select("quote_id", F.explode(F.regexp_extract_all("q", every, F.lit(1))).alias("g")).distinct()
     known = grams.select("g").distinct()
@@ -72,8 +81,30 @@ def find_quotes(quotes: DataFrame, texts: DataFrame, gram: int = 12, form=tx.nor
     met = held.join(rare, "g").select("quote_id", "paper_id").distinct()
     found = met.join(q, "quote_id").join(t, "paper_id").where(F.col("t").contains(F.col("q"))).select("quote_id", "paper_id")
     n = F.length("q") - gram + 1
-    brief = q.where(n <= 0)
-    return found.unionByName(t.join(brief, F.col("t").contains(F.col("q"))).select("quote_id", "paper_id"))
+    return found.unionByName(by_automaton(q.where(n <= 0), t)).distinct()
+
+
+def by_automaton(q: DataFrame, t: DataFrame) -> DataFrame:
+    """q(quote_id, q), t(paper_id, t) -> (quote_id, paper_id), from one pass over the texts."""
+    spark = q.sparkSession
+    told = q.groupBy("q").agg(F.collect_list("quote_id").alias("ids")).collect()
+    known = spark.sparkContext.broadcast([(r.q, list(r.ids)) for r in told])
+    types = {c: d[c].dataType for d, c in ((q.schema, "quote_id"), (t.schema, "paper_id"))}
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        found = ahocorasick.Automaton()
+        for text, ids in known.value:
+            found.add_word(text, ids)
+        found.make_automaton()
+        for b in batches:
+            pairs = [(i, paper) for paper, text in zip(b.column("paper_id").to_pylist(), b.column("t").to_pylist(), strict=True) if text for ids in {id(x): x for _, x in found.iter(text)}.values() for i in ids]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], to_arrow_type(types[c])) for k, c in enumerate(types)], names=list(types))
+
+    if not told:
+        return q.select("quote_id").join(t.select("paper_id"), F.lit(False))
+    return t.mapInArrow(each, ", ".join(f"{c} {d.simpleString()}" for c, d in types.items()))
 
 
 def evidence_rows(annotations: DataFrame, codes: DataFrame) -> DataFrame:

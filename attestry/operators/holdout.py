@@ -49,8 +49,9 @@ def random_scores(gold: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFra
     """(paper_id, score): mean over draws of a paper's score for k codes drawn, without replacement, from the multiset of
     training codes.
 
-    A draw takes the first k different places of hash(seed, paper, draw, family, try) mod the size of the multiset; a
-    place belongs to a code by running counts in the order of codes. So a draw costs k + SPARE hashes, whatever the counts.
+    A draw takes the first k different places of hash(seed, paper, draw, family, try) mod the size of the multiset; if
+    k + SPARE tries give fewer, the first places that are still free. A place belongs to a code by running counts in the
+    order of codes. So a draw costs k + SPARE hashes, whatever the counts, and has k places, or all if there are fewer.
     """
     held = gold.where("split = 'heldout'").select("paper_id", "family", "gold")
     ends = F.sum("n").over(Window.partitionBy("family").orderBy("code").rowsBetween(Window.unboundedPreceding, 0))  # a family of the codebook
@@ -61,7 +62,8 @@ def random_scores(gold: DataFrame, draws: int = DRAWS, seed: int = 0) -> DataFra
         word = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("paper_id").cast("string"), F.col("draw").cast("string"), F.col("family"), i.cast("string")))
         return F.conv(F.substring(word, 1, 8), 16, 10).cast("long") % F.col("all")
 
-    places = F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.col("k") + SPARE), place)), F.lit(1), F.col("k"))
+    free = F.sequence(F.lit(0).cast("long"), F.least(F.col("k"), F.col("all")) - 1)
+    places = F.slice(F.array_union(F.transform(F.sequence(F.lit(1), F.col("k") + SPARE), place), free), F.lit(1), F.col("k"))
     drawn = F.transform(places, lambda p: F.get(F.filter("pool", lambda c: c["end"] > p), F.lit(0))["code"])
     scored = rows.select("paper_id", "draw", set_f1(F.coalesce(F.array_distinct(drawn), F.array().cast("array<string>")), F.col("gold")).alias("f1"))
     return scored.groupBy("paper_id", "draw").agg(F.avg("f1").alias("s")).groupBy("paper_id").agg(F.avg("s").alias("score"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.text import title_key
+from attestry.operators.stages import numbered
 from attestry.schemas import PAPER_COLUMNS, VERIFIED, period_index
 
 ID_PATTERN = r"^([A-Z]+)-(\d{4})-(\d{2,})$"
@@ -44,8 +47,7 @@ def assign_ids(papers: DataFrame) -> DataFrame:
     year = F.when(F.substring("year", 1, 4) == "", "0000").otherwise(F.substring("year", 1, 4))
     has = F.coalesce(F.col("paper_id"), F.lit("")) != ""
     used = papers.where(has).select(F.regexp_extract("paper_id", ID_PATTERN, 1).alias("__k"), F.regexp_extract("paper_id", ID_PATTERN, 2).alias("__y"), F.regexp_extract("paper_id", ID_PATTERN, 3).alias("n")).where("n <> ''").groupBy("__k", "__y").agg(F.max(F.col("n").cast("int")).alias("__most"))
-    w = Window.partitionBy("scholar_key", "__y").orderBy("year", "title")
-    fresh = papers.where(~has).withColumn("__y", year).withColumn("__n", F.row_number().over(w)).withColumn("__k", F.col("scholar_key")).join(used, ["__k", "__y"], "left")
+    fresh = numbered(papers.where(~has).withColumn("__y", year), ["scholar_key", "__y"], ["year", "title"], "__n").withColumn("__k", F.col("scholar_key")).join(used, ["__k", "__y"], "left")
     number = F.coalesce("__most", F.lit(0)) + F.col("__n")
     name = F.concat_ws("-", "scholar_key", "__y", F.lpad(number.cast("string"), F.greatest(F.lit(2), F.length(number.cast("string"))), F.lit("0")))
     return papers.where(has).unionByName(fresh.withColumn("paper_id", name).select(*papers.columns))
@@ -94,38 +96,47 @@ def status_table(papers: DataFrame, texts: DataFrame, annotated: DataFrame) -> D
 
 
 def acquisition_plan(papers: DataFrame, texts: DataFrame, per_scholar: int = 15) -> DataFrame:
-    """Papers to obtain first, ranked within each scholar: all held out, then greedily the best of the rest.
+    """Papers to obtain first, ranked within each scholar: all held out by id, then greedily the best of the rest.
 
-    Each choice depends on the periods and types chosen before, so it is a loop over one scholar's papers. To keep that
-    group small, of papers that no choice can tell apart only the per_scholar with the smallest ids go to it.
+    Held-out papers are only numbered and counted, however many there are. Each further choice depends on the periods
+    and types chosen before, so it is a loop over one scholar's pool; of papers that no choice can tell apart only the
+    per_scholar with the smallest ids are in it.
     """
     rows = papers.join(texts.select("paper_id").distinct().withColumn("have_fulltext", F.lit("yes")), "paper_id", "left").fillna({"have_fulltext": ""})
     flags = {"f_seed": F.col("seed_source") == "1", "f_verified": F.col("verify_status").isin(*VERIFIED), "f_open": F.coalesce("oa_url", F.lit("")) != "", "f_author": F.col("author_role").isin("sole", "first"), "f_held": F.col("split") == "heldout"}
     rows = rows.withColumns({k: F.coalesce(v, F.lit(False)) for k, v in flags.items()})
-    alike = Window.partitionBy("scholar_key", "period", "paper_type", *flags).orderBy("paper_id")
-    rows = rows.withColumn("__n", F.row_number().over(alike)).where((F.col("__n") <= per_scholar) | F.col("f_held"))
     out = ("scholar_key", "rank", "paper_id", "split", "title", "journal", "year", "issue", "paper_type", "period", "oa_url", "have_fulltext", "why")
+    columns = [F.col(c).cast("string").alias(c) for c in out if c in PAPER_COLUMNS and c != "scholar_key"]
+    reasons = (("f_held", "held out for evaluation"), ("f_seed", "source of a seed rule"), ("f_open", "legally open access"))
+    why = F.array_join(F.filter(F.array(*[F.when(F.col(k), F.lit(text)) for k, text in reasons]), lambda x: x.isNotNull()), "; ")
+    rows = rows.select("scholar_key", *columns, "have_fulltext", *flags, why.alias("why"))
+
+    held = numbered(rows.where("f_held"), ["scholar_key"], ["paper_id"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    taken = held.groupBy("scholar_key", "period", "paper_type").agg(F.count(F.lit(1)).alias("n")).groupBy("scholar_key").agg(F.sum("n").alias("n_held"), F.collect_list(F.struct("period", "paper_type", "n")).alias("held"))
+    alike = Window.partitionBy("scholar_key", "period", "paper_type", *[f for f in flags if f != "f_held"]).orderBy("paper_id")
+    pool = rows.where("not f_held").withColumn("__n", F.row_number().over(alike)).where(F.col("__n") <= per_scholar).drop("__n")
 
     def choose(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("paper_id")
-        chosen = list(group.index[group["f_held"]])
-        pool = [i for i in group.index if i not in set(chosen)]
-        seen_periods, seen_types = list(group.loc[chosen, "period"]), list(group.loc[chosen, "paper_type"])
-        g = group.to_dict("index")
-        while pool and len(chosen) < per_scholar:
-            best = max(pool, key=lambda i: (g[i]["f_seed"], g[i]["period"] not in seen_periods, g[i]["paper_type"] not in seen_types, g[i]["f_verified"], g[i]["f_open"], g[i]["f_author"], -seen_periods.count(g[i]["period"])))
-            pool.remove(best)
-            chosen.append(best)
-            seen_periods.append(g[best]["period"])
-            seen_types.append(g[best]["paper_type"])
-        result = group.loc[chosen].copy()
-        result["rank"] = range(1, len(chosen) + 1)
-        why = {"f_held": "held out for evaluation", "f_seed": "source of a seed rule", "f_open": "legally open access"}
-        result["why"] = ["; ".join(text for k, text in why.items() if g[i][k]) for i in chosen]
-        return result[list(out)]
-
-    types = ", ".join("rank int" if c == "rank" else f"{c} string" for c in out)
-    return rows.select("scholar_key", *[F.col(c).cast("string").alias(c) for c in out if c in PAPER_COLUMNS and c != "scholar_key"], "have_fulltext", *flags).groupBy("scholar_key").applyInPandas(choose, types)
+        group = group.sort_values("paper_id", kind="stable").reset_index(drop=True)
+        known = group["held"].iloc[0]
+        known = [] if known is None else list(known)
+        at = int(group["n_held"].fillna(0).iloc[0])
+        periods: Counter = Counter()
+        types = {x["paper_type"] for x in known}
+        for x in known:
+            periods[x["period"]] += x["n"]
+        left, chosen = group.to_dict("records"), []
+        while left and at + len(chosen) < per_scholar:
+            best = max(range(len(left)), key=lambda i: (left[i]["f_seed"], not periods[left[i]["period"]], left[i]["paper_type"] not in types, left[i]["f_verified"], left[i]["f_open"], left[i]["f_author"], -periods[left[i]["period"]], -i))
+            row = left.pop(best)
+            chosen.append(row | {"rank": at + len(chosen) + 1})
+            periods[row["period"]] += 1
+            types.add(row["paper_type"])
+        return pd.DataFrame(chosen, columns=list(out))
+
+    schema = ", ".join("rank int" if c == "rank" else f"{c} string" for c in out)
+    more = pool.join(taken, "scholar_key", "left").groupBy("scholar_key").applyInPandas(choose, schema)
+    return held.select(*out).unionByName(more)
 
 
 def plan_summary(plan: DataFrame) -> DataFrame:

@@ -64,12 +64,12 @@ def lift(s_in: Column, n_in: Column, s_out: Column, n_out: Column) -> Column:
 
 
 def training(records: DataFrame, allow_unsplit: bool = False) -> DataFrame:
-    """All records that aren't held out; one without a split raises unless allowed."""
-    if not allow_unsplit:
-        bad = records.where("coalesce(split, '') not in ('train', 'heldout')").select("paper_id").limit(3).collect()
-        if bad:
-            raise ValueError(f"records without a split, e.g. {[r[0] for r in bad]}")
-    return records.where("coalesce(split, '') <> 'heldout'")
+    """All records that aren't held out; one without a split fails the job that reads it, unless allowed. No pass of its own."""
+    split = F.coalesce("split", F.lit(""))
+    if allow_unsplit:
+        return records.where(split != "heldout")
+    broken = F.raise_error(F.concat(F.lit("records without a split, e.g. "), F.coalesce(F.col("paper_id").cast("string"), F.lit("null")))).cast("boolean")
+    return records.where(F.when(split == "train", True).when(split == "heldout", False).otherwise(broken))
 
 
 def satisfied_counts(train: DataFrame, rules: list[Rule]) -> DataFrame:

@@ -112,17 +112,26 @@ SQL["dedupe_import"] = f"with k as (select doc_id, sha256({FOLD.format('text')})
 
 SQL["fold_ascii"] = f"select doc_id, sha256({FOLD.format('text')}) as folded_sha256, length({FOLD.format('text')}) as n from documents"
 LINES = """lines_ as (select doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') as ls from documents)"""
-SQL["paragraphs"] = f"with {LINES}, u as (select doc_id, unnest(ls) as p, generate_subscripts(ls, 1) as p_no from lines_) select doc_id, p_no, length(p) as n_chars, md5(p) as p_md5 from u"
 SQL["numbered_text"] = f"with {LINES} select doc_id, md5(array_to_string(list_transform(ls, lambda p, i: '[P' || i || '] ' || p), chr(10))) as numbered_md5 from lines_"
-SQL["hard_wrapped_text"] = f"""with {LINES}, u as (select doc_id, unnest(ls) as p, generate_subscripts(ls, 1) as i from lines_),
+WRAPPED = f"""{LINES}, u as (select doc_id, unnest(ls) as p, generate_subscripts(ls, 1) as i from lines_),
 f as (select *, length(p) <= 30 and regexp_matches(p, '^[0-9]+(\\.[0-9]+)*[、.．\\s]') as alone, right(p, 1) = '.' as final_ from u),
 g as (select *, coalesce(sum((alone or prev_end)::int) over (partition by doc_id order by i), 0) as grp from (select *, coalesce(lag(alone or final_) over (partition by doc_id order by i), false) as prev_end from f)),
-h as (select doc_id, grp, string_agg(p, '' order by i) as par from g group by 1, 2)
+h as (select doc_id, grp, string_agg(p, '' order by i) as par from g group by 1, 2)"""
+SQL["hard_wrapped_text"] = f"""with {WRAPPED}
 select d.doc_id, count(par) as n, md5(coalesce(string_agg(par, chr(10) order by grp), '')) as pars_md5 from documents d left join h using (doc_id) group by 1"""
+SQL["paragraphs"] = f"""with {WRAPPED},
+kind_ as (select doc_id, len(ls) >= 5 or length(text) < 3000 as lines from documents join lines_ using (doc_id)),
+both_ as (select doc_id, i as p_no, p from u join kind_ using (doc_id) where lines union all select doc_id, row_number() over (partition by doc_id order by grp), par from h join kind_ using (doc_id) where not lines)
+select doc_id, p_no, length(p) as n_chars, md5(p) as p_md5 from both_"""
 SQL["cjk_density"] = "select lang, count(*) filter (length(regexp_replace(text, '[^一-鿿]', '', 'g')) > 0.3 * length(text)) as heavy, count(*) as n from documents group by 1"
 SQL["locator_parse"] = """with p as (select doc_id, 'P' || (doc_id % 50 + 1) || '-P' || (n_chars % 90 + 1) as loc, least(doc_id % 50 + 1, n_chars % 90 + 1) as lo, greatest(doc_id % 50 + 1, n_chars % 90 + 1) as hi from documents)
 select doc_id, loc, array_to_string(range(lo, least(hi, lo + 20) + 1), ',') as located from p"""
-SQL["abstract_span"] = r"select page_id, substr(regexp_replace(regexp_extract(substr(html, 1, 20000), '(?s)<h1>\s*(.+?)\s*</h1>', 1), '[\x20\x09-\x0D]+', '', 'g'), 1, 1500) as span from pages"
+SPAN = r"coalesce(regexp_replace(substr({}, 1, {}), '[\x20\x09-\x0D]+', '', 'g'), '')"
+SQL["abstract_span"] = f"select doc_id, substr({SPAN.format('text', 400)}, 1, 1500) as abstract from documents"
+SQL["stored_abstracts"] = f"select doc_id as paper_id, case when doc_id % 3 = 0 then 'stored ' || doc_id when doc_id % 2 = 0 then {SPAN.format('text', 60)} else '' end as abstract from documents"
+SQL["full_text_choice"] = """with f as (select doc_id, case when doc_id % 5 = 0 then case when doc_id % 2 = 0 and not (doc_id % 4 <> 0 and doc_id % 7 = 0) then '.md' end
+  when doc_id % 4 = 0 then '.md' when doc_id % 7 = 0 then null else '.txt' end as ext, substr(text, 1, 200) as text from documents)
+select doc_id::varchar as paper_id, 'file:/t/' || doc_id || ext as path, md5(ext || ' ' || text) as text_md5 from f where ext is not null"""
 SQL["half_text"] = "select doc_id, md5(case when coalesce(length(text), 0) = 0 then '(none)' else substr(text, 1, greatest(1, length(text) // 2)) end) as half_md5 from documents"
 SQL["template_fill"] = "select item_id, 'Item ' || item_id || ': ' || text || ' (' || item_id || ')' as prompt from benchmark"
 SQL["comment_strip"] = "select page_id, md5(regexp_replace(html, '(?s)<!--.*?-->', '', 'g')) as bare_md5 from pages"
@@ -139,8 +148,28 @@ select quote_id, paper_id from q join t on contains(t, q) where q <> ''"""
 RATE = f"{QUOTES}, rate_ as (select paper_id, count(*) as n_quotes, count(*) filter (status in ('exact', 'loc_mismatch', 'fuzzy')) / count(*)::double as r from s_ group by 1)"
 SQL["hit_rate"] = f"with {RATE} select paper_id, n_quotes, round(r, 6) as hit_rate from rate_"
 SQL["evidence_gate"] = f"with {RATE} select paper_id, paper_id % 11 <> 0 and n_quotes > 0 and round(r, 6) >= 0.5 as passed from rate_"
-SQL["load_records"] = "select doc_id, source, case when quality = 1 then 0 else 1 end::bigint as dir_ord, toxic::bigint as toxic from labels join documents using (doc_id)"
-
+SQL["load_records"] = """select doc_id as paper_id, source as scholar_key, lang as period, case when doc_id % 2 = 0 then 'train' else '' end as split,
+  case when quality = 1 then 'Q-1,' else '' end || 'T-' || toxic as codes, case when toxic = 1 then 'puzzle' else '' end as fields from labels join documents using (doc_id)"""
+SQL["record_problems"] = """select doc_id as paper_id, doc_id || '.json' as file, case when quality = 1 then 'another annotation came first' else 'verification failed' end as reason from labels join documents using (doc_id)
+  union all select -doc_id - 1, (-doc_id - 1) || '.json', 'not in the registry' from labels
+  union all select doc_id, doc_id || '.json', 'not in the registry' from labels, range(2) where doc_id not in (select doc_id from documents)"""
+EVIDENCE_TOLD = "needs a quote of 4 to 200 characters and a loc of 2 or more"
+ANNOTATED = f"""a_ as (select doc_id::varchar as paper_id, doc_id % 8 as k, text, {FOLD.format("substr(coalesce(text, ''), 1, 60)")} as q, substr(coalesce(text, ''), 1, 60) as own from documents),
+e_ as (select *, list_sort(list_filter([case when k = 1 then 'codebook_version: form' end, case when k = 2 then 'paper_type: unknown value' end, case when k = 3 then 'fields/puzzle: missing' end, case when k = 3 then 'fields: unexpected x' end,
+  case when k = 4 then 'fields/puzzle: present without value and evidence' end, case when k = 5 then 'moves/1/evidence: {EVIDENCE_TOLD}' end, case when k = 6 then 'moves/0: needs a code and evidence' end, case when k = 7 then 'unknown properties: colour' end,
+  case when length(own) < 4 then 'fields/actors/evidence: {EVIDENCE_TOLD}' end, case when length(own) < 4 and k <> 6 then 'moves/0/evidence: {EVIDENCE_TOLD}' end], lambda x: x is not null)) as errors from a_)"""
+SQL["schema_check"] = f"with {ANNOTATED} select paper_id, array_to_string(errors, '; ') as schema_errors from e_"
+VERIFIED = f"""{ANNOTATED}, v_ as (select *, length(q) >= 6 as ok, (k <> 6)::int as known from e_),
+r_ as (select *, 1 + known + 1 as n_quotes, case when ok then 1 + known else 0 end as hits, case when k = 5 then 'too_short' else 'miss' end as last from v_)"""
+SQL["verify_annotations"] = f"""with {VERIFIED} select paper_id, case when len(errors) = 0 and k <> 6 and hits / n_quotes::double >= 0.5 then 'PASS' else 'FAIL' end as verdict, n_quotes::bigint as n_quotes, round(hits / n_quotes::double, 6) as hit_rate,
+  len(errors) as n_schema_errors, (k = 6)::bigint as n_unknown_codes from r_"""
+SQL["verification_stamps"] = f"""with {VERIFIED} select paper_id, len(errors) = 0 and k <> 6 and hits / n_quotes::double >= 0.5 as passed, sha256(coalesce(text, '')) as fulltext_sha256,
+  case when ok and k <> 6 then 'Q-1' else '' end as verified_moves, case when ok or k = 6 then 'T-0' else 'Q-1,T-0' end as unsupported_moves, case when ok then 'actors' else '' end as verified_fields,
+  hits::bigint as exact, (case when k = 5 then 0 else 1 end)::bigint as miss from r_"""
+SQL["prompt_status"] = f"""with {LINES}, t_ as (select doc_id, case when doc_id % 9 <> 0 then text end as text, ls from documents join lines_ using (doc_id)),
+s_ as (select *, case when coalesce(text, '') = '' then 'no_text' when length(text) > 4000 then 'too_long' else 'ready' end as status from t_)
+select doc_id as paper_id, status, case when status = 'ready' then md5('Title ' || doc_id || chr(10) || coalesce(array_to_string(list_transform(ls, lambda p, i: '[P' || i || '] ' || p), chr(10)), '')) end as prompt_md5,
+  sha256('{{{{TITLE}}}}' || chr(10) || '{{{{TEXT}}}}' || chr(10) || '0.3.0') as prompt_sha256, status = 'ready' and doc_id % 4 <> 0 as pending from s_"""
 KAPPA = """select {by} count(*) as n, round(avg((quality = toxic)::int), 6) as p_observed, round(case when {pe} < 1 then (avg((quality = toxic)::int) - {pe}) / (1 - {pe}) when avg((quality = toxic)::int) >= 1 then 1 end, 6) as kappa from labels {join} {group}"""
 PE = "(avg(quality) * avg(toxic) + avg(1 - quality) * avg(1 - toxic))"
 SQL["kappa_labels"] = KAPPA.format(by="", pe=PE, join="", group="")
@@ -192,7 +221,7 @@ SQL["majority_topk"] = f"with {GOLD} select family, k, array_to_string(pred, ','
 SQL["code_frequencies"] = f"with {GOLD} select family, code, n, round(n / sum(n) over (partition by family), 6) as share from freq_"
 SQL["random_baseline"] = f"""with {GOLD}, pool_ as (select family, code, sum(n) over w as end_, sum(n) over w - n as begin_ from freq_ window w as (partition by family order by code rows unbounded preceding)),
 size_ as (select family, sum(n)::bigint as all_ from freq_ group by 1), held_ as (select paper_id, family, coalesce(gold, []) as gold from gold_ where split = 'heldout'),
-tries_ as (select h.paper_id, h.family, draw, i, k, ('0x' || substr(md5('0:' || h.paper_id || ':' || draw || ':' || h.family || ':' || i), 1, 8))::bigint % all_ as place from held_ h join size_ using (family) join k_ using (family), range(1, 4) d(draw), range(1, 100) t(i) where i <= k + 8),
+tries_ as (select h.paper_id, h.family, draw, i, k, case when i <= k + 8 then ('0x' || substr(md5('0:' || h.paper_id || ':' || draw || ':' || h.family || ':' || i), 1, 8))::bigint % all_ else i - k - 9 end as place from held_ h join size_ using (family) join k_ using (family), range(1, 21) d(draw), range(1, 400) t(i) where i <= k + 8 + least(k, all_)),
 first_ as (select paper_id, family, draw, k, place, min(i) as i from tries_ group by all), taken_ as (select * from first_ qualify row_number() over (partition by paper_id, family, draw order by i) <= k),
 drawn_ as (select paper_id, t.family, draw, list(distinct code) as pred from taken_ t join pool_ p on p.family = t.family and place >= begin_ and place < end_ group by 1, 2, 3),
 f_ as (select h.paper_id, d.draw, 2.0 * len(list_intersect(pred, gold)) / (len(pred) + len(gold)) as f1 from drawn_ d join held_ h using (paper_id, family)), s_ as (select paper_id, draw, avg(f1) as s from f_ group by 1, 2)
@@ -202,15 +231,31 @@ SCORES = f"""{GOLD}, pred_ as (select g.paper_id, 'majority' as system, g.family
 f1_ as (select paper_id, system, case when len(pred) = 0 and len(gold) = 0 then null else 2.0 * len(list_intersect(pred, gold)) / (len(pred) + len(gold)) end as f1 from pred_),
 score_ as (select paper_id, system, avg(f1) as score from f1_ group by 1, 2)"""
 SQL["holdout_scores"] = f"with {SCORES} select paper_id, system, round(score, 6) as score from score_"
-SQL["holdout_summary"] = f"with {SCORES} select system, round(avg(score), 5) as mean_f1, count(*) as n from score_ group by 1"
-SQL["holdout_contrast"] = f"""with {SCORES}, u as (select paper_id % 40 as paper_id, system, avg(score) as s from score_ group by 1, 2),
-diff as (select 'majority - fixed' as contrast, a.paper_id, a.s - b.s as d from u a join u b using (paper_id) where a.system = 'majority' and b.system = 'fixed'), {boot("diff", ["contrast"], "paper_id")}
-select contrast, n, round(round_even(mean, 4), 3) as mean, round(round_even(lo, 4), 3) as lo, round(round_even(hi, 4), 3) as hi from boot_"""
+SQL["holdout_summary"] = f"with {SCORES} select system, round_even(avg(score), 4) as mean_f1, count(*) as n from score_ where score is not null group by 1"
+SQL["holdout_contrast"] = f"""with {SCORES},
+diff as (select 'majority - fixed' as contrast, a.paper_id, a.score - b.score as d from score_ a join score_ b using (paper_id) where a.system = 'majority' and b.system = 'fixed'), {boot("diff", ["contrast"], "paper_id")},
+pairs_ as (select contrast, count(*) as n_pairs from diff group by 1)
+select contrast, n_pairs as n, round(round_even(mean, 4), 3) as mean, round(round_even(lo, 4), 3) as lo, round(round_even(hi, 4), 3) as hi from boot_ join pairs_ using (contrast)"""
+SQL["model_predictions"] = f"""with dim_ as (select distinct {CODE} as code, p_type as family from part), f_ as (select unnest({list(FAMILIES)}) as family),
+g_ as (select o_orderkey, family, case when o_orderkey % 5 = 0 then [] when family = 'ECONOMY' then ['ECONOMY-0', 'none', 'ECONOMY-' || o_orderkey % 6, 'PROMO-1', 'ECONOMY-2', 'ECONOMY-3'] when family = 'PROMO' and o_orderkey % 3 <> 0 then ['PROMO-1'] else [] end as given from orders cross join f_),
+i_ as (select o_orderkey, family, unnest(given) as code, generate_subscripts(given, 1) as i from g_), k_ as (select i_.* from i_ join dim_ using (family, code)),
+t_ as (select * from k_ qualify row_number() over (partition by o_orderkey, family order by i) <= 3), d_ as (select o_orderkey, family, code, min(i) as i from t_ group by all)
+select g_.o_orderkey as paper_id, 'rules' as system, g_.family, coalesce(string_agg(code, ',' order by i), '') as pred from g_ left join d_ on d_.o_orderkey = g_.o_orderkey and d_.family = g_.family group by 1, 2, 3"""
+SQL["holdout_prompts"] = """with h_ as (select doc_id, substr(text, 1, 101) as a, case doc_id % 3 when 0 then 'cases；records' when 1 then 'a survey' else '(not stated)' end as e from documents)
+select doc_id as paper_id, s.system, md5(s.rules || '|book|T' || doc_id || '|' || case when coalesce(length(a), 0) = 0 then '(none)' else substr(a, 1, greatest(1, length(a) // 2)) end || '|' || e) as prompt_md5 from h_, (values ('baseline', ''), ('rules', 'R1')) s(system, rules)"""
 
 SQL["blind_key"] = """with i as (select distinct conv_id::varchar as item_id from conversations), r as (select item_id, system, row_number() over (partition by item_id order by sha256('7:' || item_id || ':' || system)) as place from i, (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as system))
 select item_id, chr((64 + place)::int) as label, system from r"""
 
 
+KEYED = """i as (select distinct conv_id::varchar as item_id from conversations), key_ as (select item_id, system from i, (select unnest(['click', 'error', 'purchase', 'signup', 'view']) as system)),
+cell_ as (select *, ('0x' || substr(md5(item_id || ':' || system || ':' || rater || ':' || d), 1, 4))::bigint as w from key_, (select unnest(['R1', 'R2', 'R3']) as rater), (select unnest(['D1', 'D2', 'D3', 'D4', 'D5', 'D6', 'D7', 'D8', 'f']) as d))"""
+SQL["sheet_ratings"] = f"with {KEYED} select system, d as dim, rater, count(*) as n, sum(w % 5 + 1)::double as total from cell_ where d <> 'f' and w % 7 <> 0 group by all"
+SQL["sheet_fabrications"] = f"with {KEYED} select system, rater, count(*) as n_cells, sum(w % 3)::bigint as total from cell_ where d = 'f' and w % 9 <> 0 group by all"
+SQL["blind_packets"] = """with f_ as (select conv_id::varchar as item_id, coalesce(arg_min(text, turn), '') as draft, arg_min(text, turn) as t from conversations group by 1), s_ as (select *, row_number() over (partition by item_id order by sha256('7:' || item_id || ':' || system)) as n from f_, (select unnest(['one', 'two']) as system))
+select rater, substr(sha256('7:' || rater || ':' || item_id), 1, 12) as place, item_id, chr((64 + n)::int) as label, md5(system || ':' || substr(t, 1, 20)) as output_md5 from s_, (select unnest(['R1', 'R2']) as rater)"""
+
+
 def dim(expr: str) -> str:
     return f"{EVENTS}, d_ as (select *, 'D' || ({expr}) as dim from e_)"
 
@@ -226,8 +271,15 @@ SQL["alpha_by_dimension"] = f"""with {dim("event_id % 8 + 1")}, u as (select dim
 SQL["comment_codes"] = """with c as (select (user_id % 7)::varchar as advisor, strftime(ts, '%Y-%m-%d') as draft, unnest([event_type, 'M-' || event_type]) as code, coalesce((props->>'$.k')::int % 2 = 0, false) as g from events)
 select advisor, code, count(*) as n, count(distinct draft) as n_drafts, round(avg(g::int), 6) as share, count(*) >= 3 and count(distinct draft) >= 2 and avg(g::int) >= 0.5 as candidate from c group by 1, 2"""
 
-SQL["record_islands"] = """with r as (select conv_id, turn, role, sum((role = 'user')::int) over (partition by conv_id order by turn)::bigint as rec from conversations)
-select conv_id, rec, count(*) as n_turns, string_agg(role, ',' order by turn, role) as roles from r group by 1, 2"""
+TURNS = """r_ as (select conv_id, turn, role, sum((role = 'user')::int) over (partition by conv_id order by turn) as rec from conversations),
+g_ as (select conv_id, rec, max(turn) filter (role = 'user') as t, list(role || turn order by turn) filter (role <> 'user') as names from r_ where rec > 0 group by 1, 2),
+p_ as (select conv_id as file, 'Turn ' || t as title, coalesce(array_to_string(names, '、'), '') as authors, case when ltrim('0' || t, '0') = '' then '0' || t else ltrim('0' || t, '0') end as issue, (conv_id % 30 + 1995)::varchar as year,
+  case when conv_id % 30 + 1995 <= 2009 then '≤2009' when conv_id % 30 + 1995 <= 2015 then '2010-2015' when conv_id % 30 + 1995 <= 2020 then '2016-2020' else '2021-2026' end as period,
+  case when coalesce(len(names), 0) = 0 then '' when names = ['assistant1'] then 'sole' when names[1] = 'assistant1' then 'first' when list_contains(names, 'assistant1') then 'co' else '' end as author_role from g_)"""
+SQL["import_ris"] = f"with {TURNS} select file, title, authors, issue, year, period, author_role from p_"
+SQL["import_endnote"] = SQL["import_ris"]
+SQL["import_new_papers"] = """with p_ as (select doc_id, case when doc_id % 3 = 0 then 'The ' || chr(39) || 'River' || chr(39) || ' ' else 'the river' end || substr(md5((doc_id % 400)::varchar), 1, 4) as title from documents), k_ as (select *, replace(replace(lower(title), chr(39), ''), ' ', '') as key from p_)
+select doc_id as paper_id, title from k_ where doc_id % 2 <> 0 and key not in (select key from k_ where doc_id % 2 = 0) qualify row_number() over (partition by key order by doc_id) = 1"""
 SQL["json_extract"] = "select event_id, (props->>'$.k')::bigint as k from events"
 SQL["ref_check"] = """select coalesce(d.doc_id, l.doc_id) as key, case when l.doc_id is null then 'missing' when d.doc_id is null then 'extra' else 'stale' end as state from documents d full join labels l on d.doc_id = l.doc_id where l.doc_id is null or d.doc_id is null or d.doc_id % 2 <> l.quality"""
 SQL["mention_check"] = """with n as (select distinct unnest(regexp_extract_all(html, '<a href="/([a-z]+)">', 1)) as name from pages), p as (select distinct lower(regexp_extract(text, '^[A-Za-z]+')) as name from documents where regexp_extract(text, '^[A-Za-z]+') <> '')

@@ -7,11 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from attestry import schemas
 from attestry.functions import text as tx
 from attestry.functions.fuzzy import fuzzy_ratio
 from attestry.functions.replies import reply_json
-from attestry.operators import agreement, blind, comments, evidence, holdout, integrity, mining, registry, rules
+from attestry.operators import agreement, annotations, blind, comments, evidence, holdout, integrity, mining, registry, rules
 from attestry.operators.stages import settled
+from attestry.sources import bibliography, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -50,10 +52,7 @@ def rule_list() -> list[rules.Rule]:
 
 
 def period(date: Column) -> Column:
-    out = F.when(F.lit(False), F.lit(""))
-    for end, label in PERIOD_ENDS:
-        out = out.when(F.year(date) <= end, label)
-    return out.otherwise(LAST_PERIOD)
+    return schemas.period_of(F.year(date).cast("string"), tuple(end for end, _ in PERIOD_ENDS), (*[label for _, label in PERIOD_ENDS], LAST_PERIOD))
 
 
 def orders(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +120,7 @@ def mine_combos(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def rule_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = records(spark, sf_dir).select("scholar_key", F.explode(F.filter(mining.combinations(F.col("codes")), lambda c: F.size(c) == 2)).alias("combo")).distinct()
+    pairs = records(spark, sf_dir).select("scholar_key", F.explode(mining.combinations(F.col("codes"))).alias("combo")).distinct()
     return rules.covering_rules(pairs, rule_list()).select("scholar_key", F.array_join("combo", " + ").alias("combo"), F.array_join("covered", ",").alias("covered"))
 
 
@@ -211,8 +210,9 @@ def fold_ascii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines as blocks: the driver's texts have no blank lines."""
-    pars = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tx.blocks(F.col("text"), "\n")).alias("i", "p"))
+    """Lines as blocks, as the driver's texts have no blank lines; long texts of few lines count as hard-wrapped."""
+    found = tx.paragraphs(F.col("text"), "\n", ends=(".",))
+    pars = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("i", "p"))
     return pars.select("doc_id", (F.col("i") + 1).cast("long").alias("p_no"), F.length("p").cast("long").alias("n_chars"), F.md5(F.col("p").cast("binary")).alias("p_md5"))
 
 
@@ -240,11 +240,35 @@ def locator_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", loc.alias("loc"), F.array_join(tx.located(loc), ",").alias("located"))
 
 
+def with_marks(text: Column) -> Column:
+    """A paper's front page: a text between the marks of its abstract and its keywords."""
+    return F.concat(F.lit("题目\n内容摘 要："), text, F.lit("\n关键词：河流；山路"))
+
+
 @query
 def abstract_span(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generic form of the extraction: the shortest span between two marks in the first 20,000 characters."""
-    span = F.regexp_extract(F.substring("html", 1, 20_000), r"(?s)<h1>\s*(.+?)\s*</h1>", 1)
-    return table(spark, sf_dir, "pages").select("page_id", F.substring(F.regexp_replace(span, r"[\x20\x09-\x0D]+", ""), 1, 1500).alias("span"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.abstract(with_marks(F.substring("text", 1, 400))).alias("abstract"))
+
+
+@query
+def stored_abstracts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stored abstract for each third document, the text's own for the others, none without a text."""
+    d = table(spark, sf_dir, "documents")
+    papers = d.select(F.col("doc_id").alias("paper_id"))
+    stored = d.where("doc_id % 3 = 0").select(F.col("doc_id").alias("stem"), F.concat(F.lit("  stored "), F.col("doc_id").cast("string"), F.lit("\n")).alias("text"))
+    full = d.where("doc_id % 2 = 0").select(F.col("doc_id").alias("paper_id"), with_marks(F.substring("text", 1, 60)).alias("text"))
+    return tables.abstracts(papers, stored, full).select("paper_id", "abstract")
+
+
+@query
+def full_text_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Papers with a file of their name in one or two forms, or with a named file, which may be missing."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("doc_id").cast("string").alias("stem"), F.substring("text", 1, 200).alias("text"))
+    named = F.when(F.col("doc_id") % 5 == 0, F.concat("stem", F.when(F.col("doc_id") % 2 == 0, ".md").otherwise(".gone"))).otherwise("")
+    papers = d.select(F.col("stem").alias("paper_id"), named.alias("fulltext"))
+    ext = F.explode(F.when(F.col("doc_id") % 4 == 0, F.array(F.lit(".md"))).when(F.col("doc_id") % 7 == 0, F.array().cast("array<string>")).otherwise(F.array(F.lit(".md"), F.lit(".txt")))).alias("ext")
+    texts = d.select("stem", "text", ext).select("stem", "ext", F.concat(F.lit("file:/t/"), "stem", "ext").alias("path"), F.concat("ext", F.lit(" "), "text").alias("text"))
+    return tables.full_texts(papers, texts).select("paper_id", "path", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 @query
@@ -313,15 +337,90 @@ def fuzzy_quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.round(fuzzy_ratio(q, F.col("t")), 6).alias("ratio"))
 
 
+LABEL_CODES = ("Q-0", "Q-1", "T-0", "T-1")
+
+
+def label_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each label as annotations in two folders: the first is verified if its quality is 1, the second always; and one of a paper that no registry has."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality", "toxic", F.explode(F.array(F.lit(0), F.lit(1))).alias("dir_ord"))
+    labels = labels.unionByName(labels.where("dir_ord = 0").withColumn("doc_id", -F.col("doc_id") - 1))
+    codes = F.array(F.concat(F.lit("Q-"), F.col("quality").cast("string")), F.concat(F.lit("T-"), F.col("toxic").cast("string")))
+    passed = (F.col("dir_ord") == 1) | (F.col("quality") == 1)
+    none = F.array().cast("array<string>")
+    v = F.to_json(F.struct(passed.alias("passed"), F.when(F.col("dir_ord") == 0, codes).otherwise(F.slice(codes, 2, 1)).alias("verified_moves"), F.when(F.col("toxic") == 1, F.array(F.lit("puzzle"))).otherwise(none).alias("verified_fields")))
+    meta = F.from_json(F.concat(F.lit('{"verification": '), v, F.lit("}")), schemas.META)
+    nothing = F.from_json(F.lit("{}"), schemas.ANNOTATION)
+    return labels.select(F.col("doc_id").alias("paper_id"), nothing["moves"].alias("moves"), nothing["fields"].alias("fields"), meta.alias("meta"), "dir_ord", F.concat(F.col("doc_id").cast("string"), F.lit(".json")).alias("file"))
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("paper_id"), F.col("source").alias("scholar_key"), F.col("lang").alias("period"), F.when(F.col("doc_id") % 2 == 0, "train").alias("split"))
+    return annotations.load_records(label_annotations(spark, sf_dir), d)
+
+
 @query
 def load_records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of a document's labels and its copy in a second folder, the first accepted one wins."""
-    labels = table(spark, sf_dir, "labels")
-    scans = labels.select("doc_id", F.lit(0).alias("dir_ord"), "quality", "toxic").unionByName(labels.select("doc_id", F.lit(1).alias("dir_ord"), F.lit(1).alias("quality"), "toxic"))
-    accepted = scans.where("quality = 1")
-    first = accepted.groupBy("doc_id").agg(F.min_by(F.struct("dir_ord", "toxic"), "dir_ord").alias("r"))
-    d = table(spark, sf_dir, "documents").select("doc_id", "source")
-    return first.join(d, "doc_id").select("doc_id", "source", long_count(F.col("r.dir_ord")).alias("dir_ord"), long_count(F.col("r.toxic")).alias("toxic"))
+    """Of a document's annotations in two folders the first accepted one wins."""
+    return loaded(spark, sf_dir)[0].select("paper_id", "scholar_key", "period", "split", F.array_join("codes", ",").alias("codes"), F.array_join("fields", ",").alias("fields"))
+
+
+@query
+def record_problems(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return loaded(spark, sf_dir)[1].select("paper_id", "file", "reason")
+
+
+def made_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Annotations of documents as they are read from JSON files, with one fault or none, by doc_id % 8."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 8).alias("k"))
+    quote = lambda q, loc="n/a": F.struct(q.alias("quote"), F.lit(loc).alias("loc"))
+    own, foreign = F.substring(F.coalesce("text", F.lit("")), 1, 60), F.concat(F.lit("zzqx"), F.col("doc_id").cast("string"), F.lit("zzqx"))
+    absent = F.lit('{"status": "absent"}')
+    fields = [F.concat(F.lit(f'"{n}": '), absent) for n in schemas.FIELDS if n not in ("puzzle", "actors")]
+    puzzle = F.when(F.col("k") == 3, F.lit('"x": {"status": "absent"}')).when(F.col("k") == 4, F.lit('"puzzle": {"status": "present", "value": "v"}')).otherwise(F.lit('"puzzle": {"status": "unclear", "value": ["a"]}'))
+    actors = F.concat(F.lit('"actors": '), F.to_json(F.struct(F.lit("present").alias("status"), F.lit("v").alias("value"), F.array(quote(own)).alias("evidence"))))
+    code = F.when(F.col("k") == 6, F.lit("low-case")).otherwise(F.lit("Q-1"))
+    second = F.when(F.col("k") == 5, F.lit("q")).otherwise(foreign)
+    moves = F.to_json(F.array(F.struct(code.alias("code"), F.array(quote(own)).alias("evidence")), F.struct(F.lit("T-0").alias("code"), F.array(quote(second)).alias("evidence"))))
+    version, kind = F.when(F.col("k") == 1, "1.3.0").otherwise("0.3.0"), F.when(F.col("k") == 2, "essay").otherwise("mixed")
+    text = F.concat(F.lit('{"paper_id": "'), F.col("doc_id").cast("string"), F.lit('", "codebook_version": "'), version, F.lit('", "paper_type": "'), kind, F.lit('"'), F.when(F.col("k") == 7, ', "colour": 1').otherwise(""), F.lit(', "fields": {'), F.concat_ws(", ", *fields, puzzle, actors), F.lit('}, "moves": '), moves, F.lit("}"))
+    return d.select(F.from_json(text, schemas.ANNOTATION).alias("a"), tables.unknown_properties(text).alias("unknown")).select("a.*", "unknown")
+
+
+@query
+def schema_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return annotations.schema_errors(made_annotations(spark, sf_dir)).select("paper_id", F.array_join("schema_errors", "; ").alias("schema_errors"))
+
+
+def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = made_annotations(spark, sf_dir)
+    texts = evidence.prepared_texts(table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("paper_id"), F.coalesce("text", F.lit("")).alias("text")))
+    codes = spark.createDataFrame([(c,) for c in LABEL_CODES], "code string")
+    return evidence.verify(found, texts, codes, annotations.schema_errors(found), min_hit_rate=0.5)
+
+
+@query
+def verify_annotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts of annotations whose first quotes are slices of their texts and whose last one is not."""
+    v = evidence.verdicts(verified(spark, sf_dir))
+    return v.select("paper_id", "verdict", long_count(F.col("n_quotes")).alias("n_quotes"), F.round("hit_rate", 6).alias("hit_rate"), long_count(F.col("n_schema_errors")).alias("n_schema_errors"), long_count(F.col("n_unknown_codes")).alias("n_unknown_codes"))
+
+
+@query
+def verification_stamps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = evidence.stamps(verified(spark, sf_dir), "0.3.0", "2026-01-01T00:00:00", False, 0.5)
+    return s.select("paper_id", "passed", "fulltext_sha256", F.array_join("verified_moves", ",").alias("verified_moves"), F.array_join("unsupported_moves", ",").alias("unsupported_moves"), F.array_join("verified_fields", ",").alias("verified_fields"), *[long_count(F.coalesce(F.col("counts")[c], F.lit(0))).alias(c) for c in ("exact", "miss")])
+
+
+@query
+def prompt_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts over numbered lines; texts above 4,000 characters are too long, each ninth document has none, and each fourth was done with the same text."""
+    d = table(spark, sf_dir, "documents")
+    papers = d.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("Title "), F.col("doc_id").cast("string")).alias("title"))
+    texts = d.where("doc_id % 9 <> 0").select(F.col("doc_id").alias("paper_id"), "text")
+    made = annotations.prompts(papers, texts, "{{TITLE}}\n{{TEXT}}", "0.3.0", {"TITLE": F.col("title")}, tx.numbered(tx.blocks(F.col("text"), "\n")), max_chars=4000)
+    done = made.where("paper_id % 4 = 0").select("paper_id", "prompt_sha256", "text_sha256")
+    left = annotations.pending(made.where("status = 'ready'"), done).select("paper_id", F.lit(True).alias("pending"))
+    return made.join(left, "paper_id", "left").select("paper_id", "status", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"), "prompt_sha256", F.coalesce("pending", F.lit(False)).alias("pending"))
 
 
 # Agreement.
@@ -367,7 +466,8 @@ def kripp_nominal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("rater", "n_units", "n_values", F.round("alpha", 6).alias("alpha"))
 
 
-BOOT = 200
+#: Resamples, as the operators and the command line have them.
+BOOT = 5000
 
 
 @query
@@ -417,19 +517,36 @@ def holdout_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def holdout_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    means = predictor_scores(spark, sf_dir).where("score is not null").groupBy("system").agg(F.round(F.avg("score"), 5).alias("mean_f1"), F.count(F.lit(1)).alias("n"))
-    return means
+    return holdout.summary(predictor_scores(spark, sf_dir))
 
 
 @query
 def holdout_contrast(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contrast of the mean scores of 40 groups of papers, as paired units."""
-    s = predictor_scores(spark, sf_dir).withColumn("paper_id", F.col("paper_id") % 40).groupBy("paper_id", "system").agg(F.avg("score").alias("score"))
-    s = settled(s)  # 40 papers
-    c = holdout.contrasts(s, (("majority", "fixed"),), BOOT)
+    """Contrast of two predictors with each held-out paper as a unit."""
+    c = holdout.contrasts(settled(predictor_scores(spark, sf_dir)), (("majority", "fixed"),), BOOT)
     return c.select("contrast", "n", F.round("mean", 3).alias("mean"), F.round("lo", 3).alias("lo"), F.round("hi", 3).alias("hi"))
 
 
+@query
+def model_predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies of a model, some without JSON, with unknown codes and more than three, for orders."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey")
+    k = F.col("o_orderkey")
+    given = F.concat(F.lit('{"ECONOMY": ["ECONOMY-0", "none", "ECONOMY-'), (k % 6).cast("string"), F.lit('", "PROMO-1", "ECONOMY-2", "ECONOMY-3"], "PROMO": '), F.when(k % 3 == 0, "null").otherwise('["PROMO-1"]'), F.lit("}"))
+    reply = F.when(k % 5 == 0, "I can't tell").otherwise(F.concat(F.lit("<think>{</think>```json\n"), given, F.lit("\n```")))
+    replies = o.select(k.alias("paper_id"), F.lit("rules").alias("system"), reply.alias("reply"))
+    return holdout.parsed_predictions(replies, code_dimension(spark, sf_dir), FAMILIES).select("paper_id", "system", "family", F.array_join("pred", ",").alias("pred"))
+
+
+@query
+def holdout_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    evidence_ = F.when(F.col("doc_id") % 3 == 0, '["cases", "records"]').when(F.col("doc_id") % 3 == 1, "a survey")
+    held = d.select(F.col("doc_id").alias("paper_id"), F.concat(F.lit("T"), F.col("doc_id").cast("string")).alias("title"), F.substring("text", 1, 101).alias("abstract"), evidence_.alias("evidence"))
+    made = holdout.prompts(held, "{{RULES}}|{{CODEBOOK}}|{{TITLE}}|{{ABSTRACT_HALF}}|{{EVIDENCE}}", "book", {"baseline": "", "rules": "R1"})
+    return made.select("paper_id", "system", F.md5(F.col("prompt").cast("binary")).alias("prompt_md5"))
+
+
 @query
 def code_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = holdout.code_frequencies(gold(spark, sf_dir))
@@ -438,7 +555,7 @@ def code_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def random_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return holdout.random_scores(gold(spark, sf_dir), draws=3).select("paper_id", F.round("score", 6).alias("score"))
+    return holdout.random_scores(gold(spark, sf_dir)).select("paper_id", F.round("score", 6).alias("score"))
 
 
 # Blind rating and comments.
@@ -451,6 +568,37 @@ def blind_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blind.blind_key(items)
 
 
+def score_sheets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Filled sheets of three raters over conversations' items, with blanks, and their key."""
+    key = blind_key(spark, sf_dir)
+    rated = key.withColumn("rater", F.explode(F.array(*[F.lit(f"R{i}") for i in (1, 2, 3)])))
+    word = lambda d: F.conv(F.substring(F.md5(F.concat_ws(":", "item_id", "system", "rater", F.lit(d))), 1, 4), 16, 10).cast("long")
+    cells = [F.when(word(d) % 7 == 0, " ").otherwise((word(d) % 5 + 1).cast("string")).alias(d) for d in blind.DIMENSIONS]
+    return rated.select("item_id", "label", "rater", *cells, F.when(word("f") % 9 == 0, "").otherwise((word("f") % 3).cast("string")).alias("fabrications")), key
+
+
+@query
+def sheet_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ratings, _ = blind.load_ratings(*score_sheets(spark, sf_dir))
+    return ratings.groupBy("system", "dim", "rater").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+
+
+@query
+def sheet_fabrications(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, fab = blind.load_ratings(*score_sheets(spark, sf_dir))
+    return fab.groupBy("system", "rater").agg(F.count(F.lit(1)).alias("n_cells"), F.sum("n").alias("total"))
+
+
+@query
+def blind_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What two raters get of the conversations' first turns by two systems."""
+    first = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("draft"))
+    outputs = F.map_from_entries(F.array(*[F.struct(F.lit(s), F.concat(F.lit(f"{s}:"), F.substring("draft", 1, 20))) for s in ("one", "two")]))
+    items = first.select(F.col("conv_id").cast("string").alias("item_id"), F.coalesce("draft", F.lit("")).alias("draft")).withColumn("outputs", outputs)
+    p = blind.packets(items, blind.blind_key(items), 2)
+    return p.select("rater", F.substring("place", 1, 12).alias("place"), "item_id", "label", F.md5(F.col("output").cast("binary")).alias("output_md5"))
+
+
 @query
 def blind_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = blind.system_means(event_ratings(spark, sf_dir).withColumn("dim", F.concat(F.lit("D"), (F.col("event_id") % 8 + 1).cast("string"))))
@@ -488,13 +636,38 @@ def comment_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources and housekeeping.
 
 
+def export_files(spark: SparkSession, sf_dir: str, opens: str, tag: Callable[[str], str], end: str) -> DataFrame:
+    """Each conversation as an export file: a user's turn opens a record, the others are its authors."""
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role")
+    t = F.col("turn").cast("string")
+    line = lambda name, value: F.concat(F.lit(tag(name)), value)
+    lines = F.when(F.col("role") == "user", F.concat_ws("\n", F.lit(end), F.lit(opens), line("title", F.concat(F.lit("Turn "), t)), line("issue", F.concat(F.lit("0"), t)), line("year", F.concat((F.col("conv_id") % 30 + 1995).cast("string"), F.lit("/07"))))).otherwise(line("author", F.concat("role", t)))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", lines.alias("x")))), lambda x: x["x"]), "\n")
+    return c.groupBy(F.col("conv_id").alias("file")).agg(text.alias("text"))  # the turns of one conversation
+
+
 @query
-def record_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Tagged lines to records, on conversations: a user turn opens one."""
-    c = table(spark, sf_dir, "conversations")
-    rec = F.sum((F.col("role") == "user").cast("long")).over(Window.partitionBy("conv_id").orderBy("turn"))
-    rows = c.withColumn("rec", rec)
-    return rows.groupBy("conv_id", "rec").agg(F.count(F.lit(1)).alias("n_turns"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]), ",").alias("roles"))
+def import_ris(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"title": "TI", "issue": "IS", "year": "PY", "author": "AU"}
+    files = export_files(spark, sf_dir, "TY  - JOUR", lambda n: f"{names[n]}  - ", "ER  - ")
+    return bibliography.paper_rows(bibliography.parse_ris(files), "ris", "A", "assistant1").select("file", "title", "authors", "issue", "year", "period", "author_role")
+
+
+@query
+def import_endnote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = {"title": "T", "issue": "N", "year": "D", "author": "A"}
+    files = export_files(spark, sf_dir, "%0 Journal Article", lambda n: f"%{names[n]} ", "")
+    return bibliography.paper_rows(bibliography.parse_endnote(files), "enw", "A", "assistant1").select("file", "title", "authors", "issue", "year", "period", "author_role")
+
+
+@query
+def import_new_papers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Titles of odd documents that neither the even ones nor an earlier odd one has; quotes, case and white space don't count."""
+    d = table(spark, sf_dir, "documents")
+    title = F.concat(F.when(F.col("doc_id") % 3 == 0, "The 'River' ").otherwise("the river"), F.substring(F.md5((F.col("doc_id") % 400).cast("string")), 1, 4))
+    papers = d.select(F.col("doc_id").alias("paper_id"), title.alias("title"))
+    fresh, _ = registry.import_rows(papers.where("paper_id % 2 = 0"), papers.where("paper_id % 2 <> 0"), ["paper_id"])
+    return fresh.select("paper_id", "title")
 
 
 @query

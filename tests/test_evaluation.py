@@ -97,3 +97,11 @@ def test_comments(spark):
     got = {r.code: r for r in comments.aggregate(df).collect()}
     assert (got["Q1"].n, got["Q1"].n_drafts, got["Q1"].share, got["Q1"].candidate) == (3, 2, 1.0, True) and not got["M"].candidate and got["bad"].n_drafts == 1
     assert {r.comment_id for r in comments.invalid(df).collect()} == {"3"}
+
+
+def test_a_random_draw_has_as_many_codes_as_it_should(spark, monkeypatch):
+    """Where tries run out, free places make up the rest: k of k places are all codes."""
+    monkeypatch.setattr(holdout, "SPARE", 0)
+    rows = [(f"t{i}", "train", "PZ", [f"PZ-{k}" for k in range(4)]) for i in range(1)] + [("h", "heldout", "PZ", [f"PZ-{k}" for k in range(4)])]
+    gold = spark.createDataFrame(rows, "paper_id string, split string, family string, gold array<string>")
+    assert holdout.random_scores(gold).first().score == 1.0

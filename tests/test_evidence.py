@@ -1,8 +1,11 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from attestry import schemas
+from attestry.functions import text as tx
 from attestry.operators import annotations, evidence
 
 TEXT = "第一段讨论制度逻辑的变迁过程。\n\n第二段说明基层政府如何执行上级政策。\n\n第三段给出结论与边界条件。"
@@ -104,3 +107,18 @@ def test_prompts_and_pending(spark):
     assert got["a"].status == "ready" and got["a"].prompt == "Read short text" and got["b"].status == "too_long" and got["c"].status == "no_text"
     ready = annotations.prompts(papers, texts, "Read {{TEXT}}", "1.0.0", {}, F.col("text"), max_chars=50, truncate=True).where("status = 'ready'")
     assert annotations.pending(ready, ready.where("paper_id = 'a'")).select("paper_id").collect()[0][0] == "b"
+
+
+def test_find_quotes_by_automaton_and_by_grams_equal_brute_force(spark, monkeypatch):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abc") for _ in range(rng.randint(1, 9)))
+    texts = [(i, " ".join(word() for _ in range(rng.randint(0, 60)))) for i in range(60)] + [(99, None), (98, "")]
+    quotes = [(k, (t := rng.choice(texts[:60])[1])[(a := rng.randint(0, max(0, len(t) - 5))) : a + rng.randint(1, 40)]) for k in range(80)] + [(200, "zzzzzzzzzzzzzzzz"), (201, ""), (202, "a")]
+    fold = lambda t: (t or "").replace(" ", "")
+    want = {(k, i) for k, q in quotes for i, t in texts if fold(q) and fold(q) in fold(t)}
+    q, t = spark.createDataFrame(quotes, "quote_id int, quote string"), spark.createDataFrame(texts, "paper_id int, text string")
+    got = evidence.find_quotes(q, t, form=tx.ascii_fold).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    monkeypatch.setattr(evidence, "AUTOMATON_CHARS", 0)
+    got = evidence.find_quotes(q, t, form=tx.ascii_fold).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)

@@ -1,3 +1,7 @@
+import random
+from collections import Counter, defaultdict
+from itertools import combinations
+
 import pytest
 
 from attestry.operators import mining, rules
@@ -44,8 +48,8 @@ def test_candidate_hits(spark, records):
 
 def test_a_record_without_a_split_raises(spark, records):
     bad = spark.createDataFrame([("Z", "A", "", "", ["X"], [])], records.schema)
-    with pytest.raises(ValueError, match="split"):
-        rules.support(records.unionByName(bad), RULES, ADMISSION)
+    with pytest.raises(Exception, match="records without a split, e.g. Z"):
+        rules.support(records.unionByName(bad), RULES, ADMISSION).collect()
     assert rules.support(records.unionByName(bad), RULES, ADMISSION, allow_unsplit=True).count() == 5
 
 
@@ -60,5 +64,33 @@ def test_mining(spark, records):
     got = mining.mine(records, ADMISSION).orderBy("scholar_key", "place").collect()
     a = [r for r in got if r.scholar_key == "A"]
     assert [tuple(r.combo) for r in a] == [("MECH-TENSION",), ("PZ-ANOMALY",), ("MECH-TENSION", "PZ-ANOMALY")] and all(r.n == 4 and r.n_out == 0 for r in a)
-    sizes = spark.range(1).selectExpr("array('d','a','c','b') as c").select(mining.combinations(__import__("pyspark.sql.functions", fromlist=["col"]).col("c"))).first()[0]
-    assert len(sizes) == 4 + 6 + 4 and ["a", "b", "c"] in sizes
+
+
+def test_mining_equals_brute_force_for_records_of_any_size(spark):
+    rng = random.Random(5)
+    rows = []
+    for i in range(120):
+        codes = rng.sample([f"C-{k}" for k in range(12)], rng.randint(0, 6))
+        codes += [f"R-{i}-{k}" for k in range(300)] if i < 2 else []
+        rows.append((f"p{i}", rng.choice("AB"), rng.choice(["1", "2", None]), "train", codes + codes[:1], []))
+    rows += [("q", "A", "1", "heldout", ["C-0"] * 2, [])]
+    df = spark.createDataFrame(rows, "paper_id string, scholar_key string, period string, split string, codes array<string>, fields array<string>")
+    a = rules.Admission(min_papers=3, min_periods=2, min_lift=1.2)
+    n, periods, inside = Counter(), defaultdict(set), Counter()
+    for _, key, period, split, codes, _ in rows:
+        if split != "train":
+            continue
+        inside[key] += 1
+        few = sorted(c for c in set(codes) if c.startswith("C-"))  # the others are in one record each
+        for size in (1, 2, 3):
+            for combo in combinations(few, size):
+                n[key, combo] += 1
+                periods[key, combo].add(period or "")
+    want = set()
+    for (key, combo), k in n.items():
+        other = "B" if key == "A" else "A"
+        lift = ((k + 0.5) / (inside[key] + 1)) / ((n[other, combo] + 0.5) / (inside[other] + 1))
+        if k >= 3 and len(periods[key, combo]) >= 2 and lift >= 1.2:
+            want.add((key, combo, k, n[other, combo], round(lift, 9)))
+    got = mining.mine(df, a, top=10_000).collect()
+    assert len(got) == len(want) > 20 and {(r.scholar_key, tuple(r.combo), r.n, r.n_out, round(r.lift, 9)) for r in got} == want
