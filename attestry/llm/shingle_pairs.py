@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, small, written
+from .common import fits_broadcast, map_batches, written
 from .simhash import RADIUS, components, links
 
 SHINGLE_WORDS = 5
@@ -25,6 +25,8 @@ LIKE, OF = 4, 5
 SEED = 42
 #: Common shingles go last in the order, which only saves time: those that COMMON of one in SAMPLE texts have.
 SAMPLE, COMMON, COMMON_MOST = 16, 8, 1_000_000
+#: Nodes of candidate pairs that are broadcast: numbers of 8 bytes; with more of them the sets are shuffled.
+ASKED_NODES = 1_000_000
 
 
 def shingles(text: str | None, k: int = SHINGLE_WORDS) -> tuple[int, np.ndarray]:
@@ -65,8 +67,9 @@ def lists(parts: list[np.ndarray]) -> pa.ListArray:
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs(u, v) whose sets are alike. sets may repeat a node; those of no pair are not moved."""
     pairs = written(pairs, "candidates")
-    asked = pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct()
-    sets = sets.join(small(asked), "node", "left_semi").dropDuplicates(["node"])
+    asked = written(pairs.select(F.explode(F.array("u", "v")).alias("node")).distinct(), "asked")
+    # as long as the nodes of pairs are few enough to send, the sets of all others stay where they are
+    sets = sets.join(F.broadcast(asked) if fits_broadcast(asked, ASKED_NODES) else asked, "node", "left_semi").dropDuplicates(["node"])
     a, b = sets.select(F.col("node").alias("u"), F.col("hashes").alias("a")), sets.select(F.col("node").alias("v"), F.col("hashes").alias("b"))
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,8 +143,10 @@ def near_groups(documents: DataFrame) -> DataFrame:
     shared = held.groupBy("h").agg(F.min(F.struct("node", "n")).alias("p"), F.max("node").alias("z")).where("p.node <> z").select("h", F.col("p.node").alias("v"), F.col("p.n").alias("m"))
     buckets = written(held.join(shared, "h").distinct(), "buckets")
     pairs = enough(buckets.select(F.col("node").alias("u"), "v", "n", "m").where(alike_in_size()))
-    told = sure.unionByName(sure.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    edges = written(sure.unionByName(verified(pairs.join(told, ["u", "v"], "left_anti"), sets)), "pairs")
+    known = components(sure)  # pairs of one group needn't be confirmed
+    roots = [known.select(F.col("u").alias(c), F.col("root").alias(f"{c}_root")) for c in ("u", "v")]
+    apart = pairs.join(roots[0], "u", "left").join(roots[1], "v", "left").where("coalesce(u_root, u) <> coalesce(v_root, v)").select("u", "v")
+    edges = written(sure.unionByName(verified(apart, sets)), "pairs")
     rooted = buckets.select("h", "node", "n").join(components(edges).withColumnRenamed("u", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = rooted.groupBy("h").agg(F.min("root").alias("a"), F.max("root").alias("z")).where("a <> z").select("h")
     left = written(rooted.join(split, "h"), "left")
