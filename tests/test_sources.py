@@ -5,7 +5,7 @@ from http.server import BaseHTTPRequestHandler, HTTPServer
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators.integrity import IntegrityError, keyed_difference, mentions, require_unique
+from attestry.operators.integrity import IntegrityError, bundle_errors, keyed_difference, mentions, require_unique
 from attestry.sources import bibliography, chat, tables
 
 RIS = "TY  - JOUR\nAU  - 周遥\nAU  - 何川\nTI  - 河流与渡口\nT2  - 水文札记\nPY  - 2013\nIS  - 07\nSP  - 41\nEP  - 58\nER  - \n\nTY  - JOUR\nT1  - Second\nPY  - 20x\nTY  - JOUR\nTI  - Third, unclosed\nER  - \n"
@@ -198,3 +198,19 @@ def test_reports_are_put_in_place(tmp_path):
 
 def test_text_hash(spark):
     assert spark.range(1).select(tables.text_sha256(F.lit("abc"))).first()[0].startswith("ba7816bf")
+
+
+def test_bundles(spark):
+    good = "---\nname: rivers\ndescription: >\n  Reads accounts of rivers and of the roads beside them, with care.\n  Use when 河流 is asked for in any of its forms.\nlicense: own\n---\nSee references/a.md.\n"
+    files = [
+        ("rivers/SKILL.md", good), ("rivers/references/a.md", "text <!-- references/b.md -->\n"),
+        ("roads/SKILL.md", good.replace("references/a.md", "references/gone.md") + "line\n" * 500), ("roads/references/b.md", "see references/c.md\n" + "x\n" * 100), ("none/references/a.md", "TODO by Ann Lee"), ("bare/SKILL.md", None),
+        ("short/SKILL.md", "---\nname: Short_\ndescription: 'Too short.'\n---\nbody"),
+    ]
+    got = {tuple(r) for r in bundle_errors(spark.createDataFrame(files, "path string, text string"), ["Ann Lee"]).collect()}
+    assert got == {
+        ("roads/SKILL.md", "name differs from its folder"), ("roads/SKILL.md", "more than 500 lines"), ("roads/SKILL.md", "points to missing gone.md"), ("roads/SKILL.md", "never mentions b.md"),
+        ("roads/references/b.md", "points to a further reference"), ("roads/references/b.md", "over 100 lines without contents"), ("none", "no SKILL.md"), ("none/references/a.md", "has a placeholder"), ("none/references/a.md", "has the name Ann Lee"),
+        ("bare/SKILL.md", "no front matter"), ("short/SKILL.md", "name differs from its folder"), ("short/SKILL.md", "name is not in kebab case"), ("short/SKILL.md", "description outside 80 to 1024 characters"),
+        ("short/SKILL.md", "description without 'Use when'"), ("short/SKILL.md", "description without Chinese phrases"), ("short/SKILL.md", "no license"),
+    }
