@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# How replies mark their reasoning and fence their JSON.
 REASONING = re.compile(r"<think>.*?</think>", re.S | re.I)
 FENCED = re.compile(r"```(?:json)?\s*(\{.*\})\s*```", re.S)
 #: What matters for balance: a whole string (an open one runs to the end), or a brace.

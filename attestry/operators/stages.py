@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 def settled(df: DataFrame) -> DataFrame:
     """df written to the reliable checkpoint folder: its lineage ends there, and lost executors cost nothing.
 
-    The folder is spark.checkpoint.dir; only in local mode one of our own is made where that is unset.
+    The folder is spark.checkpoint.dir; only in local mode one of our own is made where that is unset, and the session's
+    setting is set to it. The context's checkpoint folder becomes this one.
     """
     spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)

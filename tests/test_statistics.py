@@ -20,6 +20,7 @@ def test_family_kappa_counts_absent_codes(spark):
     assert got["Y"].kappa == 1.0 and not got["Y"].flagged
 
 
+# The published example of four coders and twelve units, and its coefficients.
 CODERS = [
     [1, 2, 3, 3, 2, 1, 4, 1, 2, None, None, None], [1, 2, 3, 3, 2, 2, 4, 1, 2, 5, None, 3],
     [None, 3, 3, 3, 2, 3, 4, 2, 2, 5, 1, None], [1, 2, 3, 3, 2, 4, 4, 1, 2, 5, 1, None],
