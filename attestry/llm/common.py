@@ -23,7 +23,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode a folder of our own, which the session's setting then names."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
@@ -51,7 +51,7 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Bounds an Arrow batch of texts; it never raises a limit that the session has."""
+    """Bounds an Arrow batch of texts to TEXT_BATCH_ROWS, for the whole session; it never raises a limit that the session has."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key, "10000"))
     if now <= 0 or now > TEXT_BATCH_ROWS:
@@ -74,6 +74,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def map_batches(df: DataFrame, each: Callable[[Iterator[pa.RecordBatch]], Iterable[pa.RecordBatch]], schema: str) -> DataFrame:
+    """df.mapInArrow with batches of bounded size (see text_batches)."""
     text_batches(df.sparkSession)
     return df.mapInArrow(each, schema)
 

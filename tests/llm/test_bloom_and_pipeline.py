@@ -124,3 +124,19 @@ def test_pipeline_stages(spark):
     assert Counter((r.doc_id, tuple(r.token_ids)) for r in last) == Counter((r.doc_id, tuple(library.encode(r.text))) for r in docs.collect())
     whole = corpus_pipeline.run(spark, data).select("doc_id", "ids_crc32").collect()
     assert Counter(map(tuple, whole)) == Counter((r.doc_id, r.ids_crc32) for r in last)
+
+
+def test_pipeline_stages_on_odd_and_empty_tables(spark, odd, empty):
+    data = "/root/testdata/sf0.001"
+    texts = Counter(r.text for r in odd.collect())
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        got = stage(spark, odd, data)
+        assert got.columns == odd.columns, name
+        rows = got.collect()
+        if name != "source mix":
+            assert not Counter(r.text for r in rows) - texts, name
+        assert stage(spark, empty, data).count() == 0, name
+    last = corpus_pipeline.STAGES[-1][1]
+    assert last(spark, odd, data).count() == odd.count() and last(spark, empty, data).count() == 0
+    kept = corpus_pipeline.near_copies(spark, odd, data).collect()
+    assert Counter(r.doc_id for r in kept if r.doc_id is not None) == Counter([1, 4, 5, 6, 9])
