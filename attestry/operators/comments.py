@@ -1,4 +1,4 @@
-"""Supervisors' comments by adviser and code."""
+"""Advisers' comments by adviser and code."""
 
 from __future__ import annotations
 
