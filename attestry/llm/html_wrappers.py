@@ -49,7 +49,7 @@ COMMENT_WORDS = frozenset("comment comments commentlist disqus replies reply res
 FURNITURE_WORDS = COMMENT_WORDS | frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion promoted banner nav navbar navigation menu breadcrumb breadcrumbs pagination pager footer footnav copyright sidebar widget widgets related recommended trending popular cookie cookies consent gdpr notice share sharing social subscribe subscription newsletter signup login popup modal overlay toolbar contentinfo complementary hidden".split())
 HEADER_WORDS = frozenset("header banner masthead topbar".split())
 #: Words that leave a name what it is: `cookie-bar` is furniture, `notice-period` is not.
-NEUTRAL_WORDS = frozenset("area bar block body box bottom btn button buttons column container content count fixed float form global group holder icons inline inner items js left link links list main mobile module outer page pane panel post posts primary region right row secondary section site slot small sticky top unit wrap wrapper".split())
+NEUTRAL_WORDS = frozenset("area article articles bar block body bottom box btn button buttons card cards column container content count desktop email entry fixed float form full global grid group holder icons image images inline inner items js left link links list main message mobile module more news outer page pane panel policy post posts primary privacy reader readers region right row secondary section site slot small sticky stories story text thread top unit user users width wrap wrapper".split())
 #: Words that may be furniture's or the article's: they count where the wrapper shows a fixed text or a menu.
 WEAK_WORDS = FURNITURE_WORDS | HEADER_WORDS | frozenset("aside alert colophon discussion follow legal register search skip".split())
 MAIN_WORDS = frozenset("article articlebody main content post entry story maincontent postcontent entrycontent bodytext".split())

@@ -16,7 +16,7 @@ def alone(page):
 
 PARTS = {
     "<nav><ul><li><a href='/'>Home</a></li></ul></nav>": "menu", "<header><h1>Site</h1></header>": "header", "<footer>&copy; x</footer>": "footer", "<aside>side</aside>": "sidebar", "<div class='cookie-notice'>We use cookies</div>": "notice",
-    "<div class=\"ad\">Buy</div>": "advert", "<form><p>Your name<input></p></form>": "form", "<script>var t='</p>';</script>": "script", "<style>p{}</style>": "style", "<section id='comments'><p>First!</p></section>": "comments", "<!-- hidden <p>x</p> -->": "comment", "<div id=\"sidebarLeft\"><p>more</p></div>": "sidebar", "<div hidden>no</div>": "hidden",
+    "<div class=\"ad\">Buy</div>": "advert", "<section class='reader-comments'><p>Me too</p></section>": "comments", "<div class='related-articles'><p>More</p></div>": "teasers", "<div class='privacy-notice wide'>We</div>": "notice", "<form><p>Your name<input></p></form>": "form", "<script>var t='</p>';</script>": "script", "<style>p{}</style>": "style", "<section id='comments'><p>First!</p></section>": "comments", "<!-- hidden <p>x</p> -->": "comment", "<div id=\"sidebarLeft\"><p>more</p></div>": "sidebar", "<div hidden>no</div>": "hidden",
 }
 
 
