@@ -3,6 +3,7 @@ import random
 from collections import Counter
 
 import corpus_pipeline
+import numpy as np
 
 from attestry.llm import shingle_pairs, simhash
 
@@ -68,3 +69,56 @@ def test_stage_merges_what_a_radius_of_two_keeps(spark):
     df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join(near)), (3, " ".join(base[::-1]))], "doc_id long, text string")
     assert simhash.one_of_each(df).count() == 3
     assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, df, "").collect()) == [1, 3]
+
+
+def near_one_text(rng, n):
+    """Copies of one text with one to four words replaced, near the bound from each other."""
+    base = [f"w{rng.randrange(9000)}" for _ in range(150)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rng.sample(range(150), rng.randrange(1, 5)):
+            words[at] = f"x{rng.randrange(9000)}"
+        rows.append((i, " ".join(words)))
+    return rows
+
+
+def test_a_large_group_of_near_copies_is_not_expanded_into_pairs(spark, monkeypatch):
+    asked, confirm = [], shingle_pairs.verified
+
+    def counted(pairs, sets):
+        pairs = shingle_pairs.written(pairs, "counted")
+        asked.append(pairs.count())
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(shingle_pairs, "verified", counted)
+    df = spark.createDataFrame(near_one_text(random.Random(5), 500), "doc_id long, text string")
+    check(df)
+    assert sum(asked) < 10 * 500
+
+
+def test_large_buckets_and_their_blocks_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(shingle_pairs, "PAIRED", 3)
+    monkeypatch.setattr(shingle_pairs, "BLOCK_ROWS", 5)
+    monkeypatch.setattr(shingle_pairs, "WORDS", 64)
+    rng = random.Random(6)
+    rows = near_one_text(rng, 40) + edited(rng, 30)
+    check(spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string"))
+
+
+def test_parity_bits_pass_every_alike_pair():
+    rng = np.random.default_rng(7)
+    base, sets = rng.integers(-(2**63), 2**63, 600), []
+    for _ in range(120):
+        start, size = 100 * rng.integers(0, 6), rng.integers(60, 100)
+        kept = rng.permutation(base[start : start + size])
+        sets.append(np.unique(np.r_[kept[rng.integers(0, 12) :], rng.integers(-(2**63), 2**63, rng.integers(0, 8))]))
+    n, root = np.array([len(s) for s in sets]), rng.integers(0, 90, len(sets))
+    common = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    alike = {(a, b) for a, b in zip(*np.nonzero((9 * common >= 4 * (n[:, None] + n)) & (root[:, None] != root)), strict=True) if a < b}
+    bits = [shingle_pairs.parity_bits(s) for s in sets]
+    assert len({len(b) for b in bits}) > 1 and len(alike) > 10
+    every = {tuple(sorted(p)) for p in shingle_pairs.foreign_pairs(bits, n, root, every=True)}
+    assert alike <= every and len(every) < 3 * len(alike)
+    few = shingle_pairs.foreign_pairs(bits, n, root, every=False)
+    assert len(few) < len(set(root.tolist())) and {tuple(sorted(p)) for p in few} <= every
