@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import map_batches, new_path, shuffle_partitions, small
-from .units import ODD_SPACE, UnitCache, units
+from .units import CACHE_CHARS, ODD_SPACE, UnitCache, units
 
 END_ID = 2
 #: Rows of one doc_id beyond which they may be cut into several files.
@@ -27,6 +27,8 @@ JOINED_UNITS = 128
 #: Punctuation that stands behind words, and how many stretches of it a worker keeps.
 PUNCTUATION = '.,;:!?#$%&*()[]|<>"-/'
 MOST_TAILS = 10_000
+#: White space in ASCII other than blanks and line feeds.
+ODD_ASCII = "\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -45,6 +47,11 @@ def check_vocabulary(path: str) -> None:
         raise ValueError(f"{path}: not a plain byte-level BPE vocabulary")
 
 
+def odd_space(text: str) -> bool:
+    """Whether a text has white space other than blanks and line feeds; in ASCII there are few, and looking for each is quicker than the pattern."""
+    return any(c in text for c in ODD_ASCII) if text.isascii() else ODD_SPACE.search(text) is not None
+
+
 class ByteBpe:
     """The tokenizers library over cached units.
 
@@ -65,22 +72,36 @@ class ByteBpe:
 
     def new_units(self, found: list[str]) -> list[bytes]:
         """A word with punctuation behind it is a word and a stretch of its own: the word is often known already."""
-        parts: dict[str, tuple[str, str]] = {}
-        for u in found:
-            core = u.rstrip(PUNCTUATION)
-            if len(core) < len(u) and core.isalpha():
-                parts[u] = (core, u[len(core) :])
-        known = {c: self.cache.get(c) for c in {c for c, _ in parts.values()}}
-        new = [u for u in found if u not in parts]
-        cores = [c for c in {c for c, x in known.items() if x is None}.difference(new)]
-        ids = dict(zip([*new, *cores], self.units_by_library([*new, *cores]), strict=True))
-        self.cache.young.update((c, ids[c]) for c in cores)
-        for tail in {t for _, t in parts.values()} - self.tails.keys():
-            if len(self.tails) > MOST_TAILS:
-                self.tails.clear()
-            self.tails[tail] = self.by_library([tail])[0]
-        tails = self.tails
-        return [ids[u] if u not in parts else (known[parts[u][0]] or ids[parts[u][0]]) + (tails.get(parts[u][1]) or self.by_library([parts[u][1]])[0]) for u in found]
+        out: list[bytes] = [b""] * len(found)
+        whole, open_at, cores = [], [], {}
+        young, old, tails = self.cache.young, self.cache.old, self.tails
+        for i, u in enumerate(found):
+            if u.isalpha() or not (core := u.rstrip(PUNCTUATION)).isalpha():
+                whole.append(i)
+                continue
+            tail = u[len(core) :]
+            end = tails.get(tail)
+            if end is None:
+                if len(tails) > MOST_TAILS:
+                    tails.clear()
+                end = tails[tail] = self.by_library([tail])[0]
+            ids = young.get(core) or old.get(core)
+            if ids is None:
+                open_at.append((i, core, end))
+                cores[core] = None
+            else:
+                out[i] = ids + end
+        new = [found[i] for i in whole]
+        rest = list(cores.keys() - set(new)) if cores else []
+        encoded = self.units_by_library(new + rest)
+        for i, x in zip(whole, encoded, strict=False):  # the cores come after them
+            out[i] = x
+        if cores:
+            ids = dict(zip(new + rest, encoded, strict=True))
+            young.update((c, ids[c]) for c in rest if len(c) <= CACHE_CHARS)
+            for i, core, end in open_at:
+                out[i] = ids[core] + end
+        return out
 
     def units_by_library(self, found: list[str]) -> list[bytes]:
         """New units, many in one text: a line feed between them keeps them apart and marks where each ends."""
@@ -101,7 +122,7 @@ class ByteBpe:
         """The ids of each text."""
         whole, found = {}, []
         for i, text in enumerate(texts):
-            if text and (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or ODD_SPACE.search(text)):
+            if text and (text[0].isspace() or text[-1].isspace() or "  " in text or " \n" in text or "\n " in text or "\n\n" in text or "<|" in text or odd_space(text)):
                 whole[i] = self.by_library([text])[0]
             if not text or i in whole:
                 found.append([])

@@ -61,10 +61,14 @@ class UnitCache:
         return self.young.get(unit) or self.old.get(unit)
 
     def resolved(self, missing: set[str]) -> dict[str, bytes]:
-        ids = {u: self.old[u] for u in missing if u in self.old}
-        new = list(missing - ids.keys())
-        ids.update(zip(new, self.encode(new), strict=True))
-        if len(self.young) + len(ids) > self.size:
+        ids = {u: x for u, x in zip(missing, map(self.old.get, missing)) if x is not None}
+        new = list(missing.difference(ids))
+        fresh = dict(zip(new, self.encode(new), strict=True))
+        if len(self.young) + len(ids) + len(fresh) > self.size:
             self.old, self.young = self.young, {}
-        self.young.update((u, x) for u, x in ids.items() if len(u) <= CACHE_CHARS)
+        self.young.update(ids)
+        ids.update(fresh)
+        if max(map(len, new), default=0) > CACHE_CHARS:
+            fresh = {u: x for u, x in fresh.items() if len(u) <= CACHE_CHARS}
+        self.young.update(fresh)
         return ids

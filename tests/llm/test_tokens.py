@@ -134,3 +134,20 @@ def test_unsupported_vocabularies_are_refused(tmp_path):
     (tmp_path / "m.model").write_bytes(raw + bytes([sp.NORMALIZER << 3 | 2, 2, sp.SQUEEZES_BLANKS << 3, 1]))  # a later field counts
     with pytest.raises(ValueError, match="blanks removed"):
         sp.checked_kind(str(tmp_path / "m.model"))
+
+
+def test_words_and_punctuation_over_a_small_cache():
+    rng = random.Random(8)
+    mine, library = tf.ByteBpe(tf.vocabulary()), Tokenizer.from_file(tf.vocabulary())
+    mine.cache.size = 40
+    words = ["".join(rng.choice("abcdeéß漢") for _ in range(rng.randrange(1, 6))) for _ in range(60)] + ["x" * 80, "it's", "a.b", "12", "1a"]
+    for _ in range(60):
+        lines = [" ".join(rng.choice(words) + rng.choice(["", "", ",", ".", ").", "?!", '",', "/"]) for _ in range(rng.randrange(1, 9))) for _ in range(rng.randrange(1, 5))]
+        batch = ["\n".join(lines), rng.choice(["", "\t", "\x1c", "\x85", "\r"]).join(lines), "".join(lines[:1])]
+        assert list(map(ids, mine.all(batch))) == [library.encode(t, add_special_tokens=False).ids for t in batch]
+    assert max(map(len, {**mine.cache.young, **mine.cache.old})) <= tf.CACHE_CHARS
+
+
+def test_odd_space_is_what_the_pattern_finds():
+    for c in map(chr, [*range(0x300), 0x1680, *range(0x2000, 0x2070), 0x3000]):
+        assert tf.odd_space(f"a{c}b") == tf.odd_space(f"é{c}b") == (tf.ODD_SPACE.search(c) is not None)
