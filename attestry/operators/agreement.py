@@ -2,12 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DoubleType, StructField, StructType
 
+from attestry.functions.md5 import drawn_means
+from attestry.operators.stages import numbered, settled
 
-#: Units of one group that a bootstrap draws from: numbers, which each task holds once.
-MOST_UNITS = 1_000_000
+#: Values of a bootstrap's units that go into one row.
+CHUNK = 16_384
 
 
 def cohen_kappa(pairs: DataFrame, a: str, b: str, by: list[str] | None = None) -> DataFrame:
@@ -75,21 +83,32 @@ def bootstrap(diffs: DataFrame, value: str, key: list[str], by: list[str] | None
     """(by..., n, mean, lo, hi): mean of paired differences with a percentile interval.
 
     Draw b, place i takes the row number hash(seed, b, i) mod n, in the order of `key`: the same in any engine and
-    partitioning. Nulls are dropped. Rows of one `by` are paired units (papers, items), numbered within it; their values
-    are one array that every draw reads, so that no row is made for a place. Above MOST_UNITS units it raises.
+    partitioning. Nulls are dropped. Rows of one `by` are paired units (papers, items), numbered within it by range;
+    their values are broadcast in chunks, 8 bytes for each, and every task hashes whole arrays of places for its draws.
     """
-    by = by or []
-    rows = diffs.where(F.col(value).isNotNull()).select(*by, *key, F.col(value).cast("double").alias("x"))
-    sizes = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"))
-    n = F.when(F.col("n") > MOST_UNITS, F.raise_error(F.lit(f"more than {MOST_UNITS} units")).cast("long")).otherwise(F.col("n"))
-    units = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*key, "x"))).alias("all"), F.count(F.lit(1)).alias("n")).select(*by, n.alias("n"), F.transform("all", lambda u: u["x"]).alias("xs"))
-    draws = diffs.sparkSession.range(0, n_boot, 1, int(diffs.sparkSession.conf.get("spark.sql.shuffle.partitions"))).select(F.col("id").alias("b")).join(F.broadcast(units))  # a row for each group
-
-    def drawn(at: Column) -> Column:
-        word = F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), at.cast("string"))), 1, 8)
-        return F.get("xs", (F.conv(word, 16, 10).cast("long") % F.col("n")).cast("int"))
-
-    means = draws.select(*by, (F.aggregate(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), F.lit(0.0), lambda a, i: a + drawn(i)) / F.col("n")).alias("m"))
+    by, spark = by or [], diffs.sparkSession
+    rows = numbered(diffs.where(F.col(value).isNotNull()).select(*by, *key, F.col(value).cast("double").alias("x")), by, [*key, "x"], "__i")
+    rows = settled(rows.select(*by, F.floor((F.col("__i") - 1) / CHUNK).alias("chunk"), "__i", "x").groupBy(*by, "chunk").agg(F.array_sort(F.collect_list(F.struct("__i", "x"))).alias("all")).select(*by, "chunk", F.transform("all", lambda u: u["x"]).alias("xs")))
+    parts = rows.select(*by, F.size("xs").cast("long").alias("n"), F.aggregate("xs", F.lit(0.0), lambda a, x: a + x).alias("s"))
+    sizes = parts.groupBy(*by).agg(F.sum("n").alias("n"), F.sum("s").alias("s")).select(*by, "n", (F.col("s") / F.col("n")).alias("mean"))
+    tasks = min(n_boot, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    dealt = spark.range(0, tasks, 1, tasks).select(F.col("id").alias("task")).join(F.broadcast(rows))  # 8 bytes for each unit
+
+    types = [to_arrow_type(rows.schema[c].dataType) for c in by]
+
+    def draw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        groups: dict = {}
+        for batch in batches:
+            for at, of in enumerate(zip(*[batch.column(c).to_pylist() for c in ("task", *by, "chunk")], strict=True)):
+                groups.setdefault(of[:-1], []).append((of[-1], batch.column("xs")[at].values.to_numpy().copy()))
+        for (task, *of), chunks in groups.items():
+            begin, end = n_boot * task // tasks, n_boot * (task + 1) // tasks
+            xs = np.concatenate([x for _, x in sorted(chunks, key=lambda c: c[0])])
+            chunks.clear()
+            means = drawn_means(xs, begin, end, seed)
+            yield pa.RecordBatch.from_arrays([*[pa.array([v] * len(means), t) for t, v in zip(types, of, strict=True)], pa.array(means)], names=[*by, "m"])
+
+    means = dealt.mapInArrow(draw, StructType([*[rows.schema[c] for c in by], StructField("m", DoubleType())]))
     lo, hi = max(0, int(alpha / 2 * n_boot // 1)), min(n_boot - 1, -int(-(1 - alpha / 2) * n_boot // 1) - 1)
     sorted_means = means.groupBy(*by).agg(F.array_sort(F.collect_list("m")).alias("all"))  # n_boot numbers
     picked = sorted_means.select(*by, F.get("all", F.lit(lo)).alias("lo"), F.get("all", F.lit(hi)).alias("hi"))

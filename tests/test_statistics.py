@@ -47,3 +47,15 @@ def test_set_f1(spark):
     df = spark.createDataFrame([([], []), (["A"], []), (["A", "B"], ["A"])], "p array<string>, g array<string>")
     got = [r[0] for r in df.select(agreement.set_f1(F.col("p"), F.col("g"))).collect()]
     assert got[0] is None and got[1] == 0.0 and got[2] == pytest.approx(2 / 3)
+
+
+def test_bootstrap_of_many_units_draws_as_the_hashes_say(spark):
+    from hashlib import md5
+
+    some = [(i, float(i * i % 17)) for i in range(1, 121)]
+    got = agreement.bootstrap(spark.createDataFrame(some, "i long, d double").repartition(3), "d", ["i"], n_boot=40, seed=3).first()
+    means = sorted(sum(some[int(md5(f"3:{b}:{i}".encode()).hexdigest()[:8], 16) % 120][1] for i in range(120)) / 120 for b in range(40))
+    assert (got.n, round(got.lo, 9), round(got.hi, 9)) == (120, round(means[1], 9), round(means[38], 9))
+    many = spark.range(1_000_001).select("id", (F.col("id") % 2).cast("double").alias("d"))
+    got = agreement.bootstrap(many, "d", ["id"], n_boot=3).first()
+    assert got.n == 1_000_001 and got.lo <= got.hi and abs(got.lo - 0.5) < 0.01 and abs(got["mean"] - 0.5) < 1e-5
