@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import unicodedata
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -21,6 +23,8 @@ ABSTRACT = r"(?is)(?:内容)?摘(?U:\s*)要(?U:\s*)[:：]?(?U:\s*)(.+?)(?U:\s*)(
 LOCATOR = r"(?i)P(?U:\s*)((?U:\d+))(?:(?U:\s*)[-~–—至](?U:\s*)P?(?U:\s*)((?U:\d+)))?"
 LOCATOR_SPAN = 20
 QUOTE_MARKS = "['\"]"
+#: Characters of the property White_Space, as (?U:\\s) has them.
+WHITE = "\t\n\x0B\f\r \x85\xA0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200A\u2028\u2029\u202F\u205F\u3000"
 #: Decimal digits of all scripts, and the same in ASCII.
 DIGITS = "".join(chr(c) for c in range(128, 0x20000) if unicodedata.category(chr(c)) == "Nd")
 ASCII_DIGITS = "".join(str(unicodedata.decimal(c)) for c in DIGITS)
@@ -31,33 +35,49 @@ def nfkc(texts: pd.Series) -> pd.Series:
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def without_white(text: Column) -> Column:
+    """White space and separators dropped, by character: a match for each word costs a regular expression more than all else."""
+    return F.translate(text, WHITE + "\x1C\x1D\x1E\x1F", "")
+
+
 def folded(text: Column) -> Column:
     """The steps of normalize that follow NFKC, all native: references, punctuation, dashes, dots, white space, case."""
     out = F.regexp_replace(text, REFERENCES, "")
     out = F.translate(out, PUNCTUATION_FROM, PUNCTUATION_TO)
     out = F.regexp_replace(F.regexp_replace(out, DASHES, "-"), "\\.{2,}", ".")
-    return F.lower(F.regexp_replace(out, "(?U)[\\s\\x1C-\\x1F]+", ""))
+    return F.lower(without_white(out))
+
+
+def folded_ascii(text: Column) -> Column:
+    """What `folded` comes to for an ASCII text."""
+    out = F.regexp_replace(F.regexp_replace(text, REFERENCES, ""), "-{2,}", "-")
+    return F.lower(without_white(F.regexp_replace(out, "\\.{2,}", ".")))
 
 
 def normalize(text: Column) -> Column:
-    """The symmetric normal form in which quotes and texts are compared. Null stays null. ASCII texts are their own NFKC and don't go to the UDF."""
-    bare = F.regexp_replace(text, DROPPED, "")
-    ascii_only = F.length(bare) == F.octet_length(bare)
-    return folded(F.coalesce(F.when(ascii_only, bare), nfkc(F.when(~ascii_only, bare))))
+    """The symmetric normal form in which quotes and texts are compared. Null stays null. ASCII texts are their own NFKC and
+    don't go to the UDF. The text is named more than once: give a column where it is costly to make."""
+    ascii_only = F.length(text) == F.octet_length(text)
+    return F.when(ascii_only, folded_ascii(text)).otherwise(folded(nfkc(F.when(~ascii_only, F.regexp_replace(text, DROPPED, "")))))
+
+
+def once(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value) with value computed a single time, also within lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
 def ascii_fold(text: Column) -> Column:
     """The part of normalize that any SQL engine shares: case and ASCII white space."""
-    return F.lower(F.regexp_replace(text, "[\\x20\\x09-\\x0D]+", ""))
+    return F.lower(F.translate(text, " \t\n\x0B\f\r", ""))
 
 
 def cjk_heavy(text: Column) -> Column:
     """Whether over 30 % of the characters are CJK ideographs."""
-    return F.length(F.regexp_replace(text, "[^\u4E00-\u9FFF]", "")) > 0.3 * F.length(text)
+    return F.length(F.regexp_replace(text, "[^\u4E00-\u9FFF]+", "")) > 0.3 * F.length(text)
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, "(?U)^\\s+|\\s+$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
 def joined_lines(block: Column) -> Column:
@@ -95,8 +115,11 @@ def hard_wrapped(text: Column, ends: tuple[str, ...] = PARAGRAPH_ENDS, heading:
 
 def paragraphs(text: Column, delimiter: str = "\n(?U:\\s*)\n", least_blocks: int = 5, short: int = 3000, ends: tuple[str, ...] = PARAGRAPH_ENDS) -> Column:
     """array<string>: blank-line blocks if there are enough of them or the text is short, else hard-wrapped paragraphs."""
-    found = blocks(text, delimiter)
-    return F.when((F.size(found) >= least_blocks) | (F.length(line_feeds(text)) < short), F.transform(found, joined_lines)).otherwise(hard_wrapped(text, ends))
+
+    def chosen(t: Column) -> Column:
+        return once(blocks(t, delimiter), lambda found: F.when((F.size(found) >= least_blocks) | (F.length(t) < short), F.transform(found, joined_lines)).otherwise(hard_wrapped(t, ends)))
+
+    return once(line_feeds(text), chosen)
 
 
 def numbered(pars: Column) -> Column:

@@ -105,3 +105,27 @@ def test_a_random_draw_has_as_many_codes_as_it_should(spark, monkeypatch):
     rows = [(f"t{i}", "train", "PZ", [f"PZ-{k}" for k in range(4)]) for i in range(1)] + [("h", "heldout", "PZ", [f"PZ-{k}" for k in range(4)])]
     gold = spark.createDataFrame(rows, "paper_id string, split string, family string, gold array<string>")
     assert holdout.random_scores(gold).first().score == 1.0
+
+
+def test_random_scores_make_no_row_for_a_draw(spark, gold):
+    from hashlib import md5
+
+    _, g = gold
+    assert "draw" not in holdout.random_scores(g)._jdf.queryExecution().optimizedPlan().toString()
+    pool = {"PZ": ["PZ-A"] * 3 + ["PZ-B"], "GAP": ["GAP-A"]}
+    have = {"PZ": {"PZ-A"}, "GAP": {"GAP-A"}}
+    picked = lambda d, f: pool[f][int(md5(f"0:h1:{d}:{f}:1".encode()).hexdigest()[:8], 16) % len(pool[f])]
+    want = sum((picked(d, f) in have[f]) / 2 for d in range(1, 21) for f in have) / 20
+    assert round({r.paper_id: r.score for r in holdout.random_scores(g).collect()}["h1"], 9) == round(want, 9)
+
+
+def test_gold_sets_move_no_rows_and_scores_move_a_row_for_each_paper(spark, gold):
+    codes, _ = gold
+    records = spark.range(8).select("id").selectExpr("cast(id as string) as paper_id", "if(id < 6, 'train', 'heldout') as split", "array('PZ-A', 'PZ-A', 'GAP-A') as codes")
+    g = holdout.gold_sets(records, codes, ("PZ", "GAP", "NONE"))
+    moved = lambda df: [x for x in df._jdf.queryExecution().executedPlan().toString().splitlines() if "hashpartitioning(paper_id" in x]
+    assert not moved(g)
+    assert {(r.family, tuple(r.gold)) for r in g.collect()} == {("PZ", ("PZ-A",)), ("GAP", ("GAP-A",)), ("NONE", ())}
+    pred = g.where("split = 'heldout'").select("paper_id", F.lit("s").alias("system"), "family", F.array(F.lit("PZ-A")).alias("pred")).where("family = 'PZ'")
+    s = holdout.scores(pred, g)
+    assert len(moved(s)) == 2 and {r.score for r in s.collect()} == {0.5}
