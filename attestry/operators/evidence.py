@@ -26,12 +26,14 @@ BROADCAST_GRAMS = 500_000
 def prepared_texts(texts: DataFrame, pars: Column | None = None, form=tx.normalize) -> DataFrame:  # noqa: ANN001
     """texts(paper_id, text) -> (paper_id, pars: normal form of each paragraph, whole: all of them, fulltext_sha256), once for all quotes.
 
-    Paragraphs are joined with a mark that the normal form drops nowhere, so the one UDF sees a text once.
+    Paragraphs are joined with a mark that the normal form drops nowhere, so the one UDF sees a text once. Each step is a
+    column of its own, which the next one names: put together into one expression a text would be split a dozen times.
     """
     split = pars if pars is not None else tx.paragraphs(F.col("text"))
     mark = "\uE000"
-    normal = form(F.array_join(F.transform(split, lambda p: F.replace(p, F.lit(mark), F.lit(""))), mark))
-    return texts.select("paper_id", F.split(normal, mark).alias("pars"), F.replace(normal, F.lit(mark), F.lit("")).alias("whole"), F.sha2(F.col("text").cast("binary"), 256).alias("fulltext_sha256"))
+    joined = texts.select("paper_id", "text", F.array_join(F.transform(split, lambda p: F.replace(p, F.lit(mark), F.lit(""))), mark).alias("joined"))
+    normal = joined.select("paper_id", "text", form(F.col("joined")).alias("normal"))
+    return normal.select("paper_id", F.split("normal", mark).alias("pars"), F.replace("normal", F.lit(mark), F.lit("")).alias("whole"), F.sha2(F.col("text").cast("binary"), 256).alias("fulltext_sha256"))
 
 
 def check_quotes(quotes: DataFrame, prepared: DataFrame, min_chars: int = MIN_CHARS, max_chars: int = MAX_CHARS, fuzzy: float | None = None, form=tx.normalize) -> DataFrame:  # noqa: ANN001

@@ -54,3 +54,29 @@ def test_fuzzy_ratio():
 @pytest.mark.parametrize(("reply", "want"), [("<think>{x</think>```json\n{\"a\": \"}\"}\n```", '{"a": "}"}'), ("junk</think> {\"a\": {\"b\": 1}} tail }", '{"a": {"b": 1}}'), ("no object", None), ("{\"a\": 1", None), ("{bad}", None), (None, None), ('{"a": "\\"}"}', '{"a": "\\"}"}')])
 def test_reply_object(reply, want):
     assert first_object(reply) == want
+
+
+def test_a_text_is_split_once_for_its_normal_form(spark):
+    from attestry.operators.evidence import prepared_texts
+
+    texts = spark.createDataFrame([("a", " A--b .. C　d\x1c\x85。。[1, 2] ")], "paper_id string, text string")
+    found = prepared_texts(texts)
+    assert found.first().whole == "a-b.cd."
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("joinedlines") + plan.count("array_join(transform(") <= 4 and plan.count("reduce(") <= 1
+
+
+def test_white_space_is_that_of_unicode(spark):
+    from attestry.functions import text as tx
+
+    cs = spark.range(1, 0x3100).select(F.expr("decode(unhex(lpad(hex(id), 4, '0')), 'UTF-16BE')").alias("c")).select(F.concat("c", F.lit("a"), "c", F.lit("b"), "c", "c").alias("t"))
+    same = lambda a, b: cs.where(~a.eqNullSafe(b)).count() == 0
+    assert same(tx.stripped(F.col("t")), F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))
+    assert same(tx.without_white(F.col("t")), F.regexp_replace("t", r"(?U)[\s\x1C-\x1F]+", ""))
+    assert same(tx.ascii_fold(F.col("t")), F.lower(F.regexp_replace("t", r"[\x20\x09-\x0D]+", "")))
+
+
+def test_fuzzy_ratio_takes_arrow_arrays():
+    from attestry.functions import fuzzy
+
+    assert "pandas" not in vars(fuzzy) and "pd" not in vars(fuzzy)
