@@ -6,7 +6,7 @@ import re
 from difflib import SequenceMatcher
 from itertools import islice
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +14,8 @@ from pyspark.sql import types as T
 ANCHOR = 4
 HITS = 50
 LEAST_CHARS = 8
+#: Scored pairs that are remembered within a batch.
+KEPT = 64
 
 
 def windows(quote: str, text: str) -> list[tuple[int, int]]:
@@ -40,9 +42,16 @@ def best_ratio(quote: str | None, text: str | None) -> float:
     return max((found_share(quote, part) for part in {text[a:z] for a, z in windows(quote, text)}), default=0.0)
 
 
-@F.pandas_udf(T.DoubleType())
-def fuzzy_ratio(quotes: pd.Series, texts: pd.Series) -> pd.Series:
-    pairs = pd.DataFrame({"q": quotes, "t": texts})
-    asked = pairs.drop_duplicates()
-    asked = asked.assign(r=[best_ratio(q, t) for q, t in zip(asked["q"], asked["t"], strict=True)])
-    return pairs.merge(asked, on=["q", "t"], how="left")["r"].astype("float64")
+@F.arrow_udf(T.DoubleType())
+def fuzzy_ratio(quotes: pa.Array, texts: pa.Array) -> pa.Array:
+    """One text at a time becomes a Python string; a pair that comes again among the last KEPT ones is not scored again."""
+    known: dict[tuple[str | None, str | None], float] = {}
+    out = []
+    for quote, text in zip(quotes, texts, strict=True):
+        pair = (quote.as_py(), text.as_py())
+        if pair not in known:
+            if len(known) >= KEPT:
+                known.clear()
+            known[pair] = best_ratio(*pair)
+        out.append(known[pair])
+    return pa.array(out, pa.float64())
